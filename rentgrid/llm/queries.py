@@ -5,11 +5,60 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentgrid.llm import simhash_dedup, token_counts
-from rentgrid.llm._common import read, shared_dir
+from rentgrid.llm import decontaminate, langid, line_dedup, mixing, pii, quality, sharding, simhash_dedup, token_counts, vector_file
+from rentgrid.llm._common import fold, read, shared_dir
+
+
+def op1_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_file.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = F.col("doc_id")
+    found = langid.identify(docs, docs.where(fold(out, 5) != 0))
+    return found.select("doc_id", (fold(out, 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_similar_lines(read(spark, sf_dir, "documents"))
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == F.lit(kind)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents"))
+    terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["a"].alias("a"), s["b"].alias("b")))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", terms)).alias("spans"), F.size("terms").cast("long").alias("n_term")
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("doc_id")
+    labels = read(spark, sf_dir, "labels").where(fold(id_, 3) != 1).select("doc_id", F.col("quality").alias("y"))
+    found = quality.score(read(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (fold(id_, 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +66,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own per call, so that every run encodes all of its distinct texts."""
     import public_tokenizers
@@ -26,8 +80,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_simhash_dedup": op8_simhash_dedup,
-    "op10_token_counts": op10_token_counts,
+    f.__name__: f
+    for f in (op1_vector_file, op2_language_id, op3_line_dedup, op4_pii, op5_quality, op6_decontaminate, op7_mixing, op8_simhash_dedup, op9_sharding, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB's SQL for the queries that SQL can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op1_vector_file": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
