@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrid.plans import health
+from rentgrid.plans import counts, health
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (health,):
+for _module in (health, counts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -1,0 +1 @@
+"""Scans: listing documents, tables with an active flag, stored pages, feeds, sidecars."""
