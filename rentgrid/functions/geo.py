@@ -3,12 +3,11 @@ alternation each, so a text is read once a gazetteer and not once an alias."""
 
 from __future__ import annotations
 
-from itertools import groupby
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentgrid.functions import gazetteer as G
+from rentgrid.functions import numbers as N
 from rentgrid.functions import plain
 from rentgrid.functions import text as T
 
@@ -20,23 +19,18 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def first_alias(blob: Column, aliases: list[tuple[str, str]], left: str = r"(?:^|\b)", right: str = r"(?:\b|$)") -> Column:
-    """(alias, name) of the first alias of the list that the text holds, or null.
+def padded(blob: Column) -> Column:
+    """A normalised text as words between single spaces, so that whole words can be looked up plainly."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(blob, "[^a-z0-9]+", " ")), F.lit(" "))
+
 
-    All aliases present are found by look-ahead, so overlapping ones don't hide each other, and the
-    list's order decides.  Runs of one length need no order of their own and share an alternation."""
-    out = None
-    for size, run in groupby(aliases, key=lambda a: len(a[0])):
-        part = list(run)
-        names = {a: n for a, n in reversed(part)}
-        pattern = f"(?={left}({'|'.join(T.quoted(a) for a in names)}){right})"
-        found = F.regexp_extract_all(blob, F.lit(pattern), F.lit(1))
-        order = F.array(*[F.lit(a) for a in names][::-1]) if len(names) > 1 else None
-        pick = F.filter(order, lambda a, f=found: F.array_contains(f, a)) if order is not None else found
-        alias = F.get(pick, F.lit(0))
-        hit = F.when(alias.isNotNull(), F.struct(alias.alias("alias"), lookup(alias, names).alias("name")))
-        out = hit if out is None else F.coalesce(out, hit)
-    return out
+def first_alias(words: Column, aliases: list[tuple[str, str]], within: bool = False) -> Column:
+    """(alias, name) of the first alias of the list that the text holds as whole words (anywhere, if
+    ``within``), or null.  The list is one constant, so the plan doesn't grow with it; ``words`` comes
+    from ``padded``."""
+    edge = "" if within else " "
+    pairs = F.array(*[F.struct(F.lit(f"{edge}{plain.fold(a)}{edge}").alias("alias"), F.lit(n).alias("name")) for a, n in aliases])
+    return T.bind(words, lambda w: F.get(F.filter(pairs, lambda p: F.contains(w, p["alias"])), F.lit(0)))
 
 
 def all_text(*parts: Column) -> Column:
@@ -45,18 +39,11 @@ def all_text(*parts: Column) -> Column:
 
 def detect_commune(city: Column, district: Column, title: Column, description: Column, url: Column) -> Column:
     """The commune of a row: by postal code, then alias, then name, else the cleaned city."""
-    blob = T.norm_translate(all_text(city, district, title, description, url))
-    postal = None
-    for code, name in G.POSTAL.items():
-        hit = F.when(F.contains(blob, F.lit(code)), F.lit(name))
-        postal = hit if postal is None else F.coalesce(postal, hit)
-    alias = None
-    for a, name in G.CITY_ALIASES.items():
-        hit = F.when(blob.rlike(rf"(?<!\w){T.quoted(a)}(?!\w)"), F.lit(name))
-        alias = hit if alias is None else F.coalesce(alias, hit)
-    plain_name = F.coalesce(*[F.when(F.contains(blob, F.lit(plain.fold_translate(n))), F.lit(n)) for n in G.CITY_NAMES])
+    blob = padded(T.norm_translate(all_text(city, district, title, description, url)))
+    codes, names = list(G.POSTAL.items()), [(n, n) for n in G.CITY_NAMES]
+    found = T.bind(blob, lambda b: F.coalesce(first_alias(b, codes, within=True)["name"], first_alias(b, list(G.CITY_ALIASES.items()))["name"], first_alias(b, names, within=True)["name"]))
     own = T.clean(city)
-    return F.coalesce(postal, alias, plain_name, F.when(own != "", own), F.lit(UNKNOWN_CITY))
+    return F.coalesce(found, F.when(own != "", own), F.lit(UNKNOWN_CITY))
 
 
 def region_for(commune: Column) -> Column:
@@ -103,17 +90,18 @@ def scope_class(declared: Column, *fields: Column) -> Column:
 
 def strict_commune(*fields: Column) -> Column:
     """A covered commune by its own names, longest first, then by postal code; never by a district."""
-    blob = T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields]))
+    blob = padded(F.replace(T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields])), F.lit("-"), F.lit(" ")))
     names = G.longest_first([(plain.slug(a), c) for c, aliases in G.COVERED.items() for a in (c, *aliases.split("|"))])
     codes = [(code, c) for code, c in G.POSTAL.items() if c in G.COVERED]
-    return F.coalesce(*[F.when(F.contains(blob, F.lit(a)), F.lit(c)) for a, c in names + codes])
+    return first_alias(blob, names + codes, within=True)["name"]
 
 
 def district_in(commune: Column, *fields: Column) -> Column:
     """A district of the known commune that the texts name, longest alias first; null if it's unknown."""
-    blob = T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields]))
+    blob = padded(F.replace(T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields])), F.lit("-"), F.lit(" ")))
     pairs = G.longest_first([(plain.slug(a), name) for name, (*_, aliases) in G.DISTRICTS.items() for a in (name, *aliases.split("|"))])
-    return F.coalesce(*[F.when((commune == G.DISTRICTS[name][0]) & F.contains(blob, F.lit(a)), F.lit(name)) for a, name in pairs])
+    table = F.array(*[F.struct(F.lit(plain.fold(a)).alias("alias"), F.lit(n).alias("name"), F.lit(G.DISTRICTS[n][0]).alias("commune")) for a, n in pairs])
+    return T.bind(F.struct(blob.alias("b"), commune.alias("c")), lambda x: F.get(F.filter(table, lambda p: (p["commune"] == x["c"]) & F.contains(x["b"], p["alias"])), F.lit(0))["name"])
 
 
 def plausible(lat: Column, lon: Column, south: float = -21.45, north: float = -20.80, west: float = 55.15, east: float = 55.95) -> Column:
@@ -121,59 +109,47 @@ def plausible(lat: Column, lon: Column, south: float = -21.45, north: float = -2
     return F.coalesce((lat > south) & (lat < north) & (lon > west) & (lon < east), F.lit(False))
 
 
-def infer_location(title: Column, description: Column, url: Column, commune: Column, region: Column) -> Column:
-    """Where a listing is, from its own text, with confidence and method.
+def infer_location(df: DataFrame, title: str = "title", description: str = "description", url: str = "url", commune: str = "commune", region: str = "region", out: str = "location") -> DataFrame:
+    """``df`` with a struct of where a listing is, from its own text, with confidence and method.
 
     A named district decides; else the commune named in title or address, else in the whole text,
-    else the declared one.  A view of the mountain is not its district."""
-    blob = T.norm_nfd_space(F.concat_ws(" ", T.text(title), T.text(description), T.text(url), T.text(commune), T.text(region)))
-    strong = T.norm_nfd_space(F.concat_ws(" ", T.text(title), T.text(url)))
-    declared = T.norm_nfd_space(commune)
+    else the declared one.  A view of the mountain is not its district.  Each step is a column of its
+    own, so no expression is written out twice."""
+    c = lambda n: N.column(df, n).cast("string")
+    low = lambda *ns: T.norm_nfd_space(F.concat_ws(" ", *[T.text(c(n)) for n in ns]))
     mountain = "la montagne"
-    seen_from = blob.rlike(r"\b(vue|vues|mer|ocean|panorama|panoramique|route|routes|chemin|sur)\b(?:\s+\w+){0,4}\s+la montagne\b")
-    allowed = ~seen_from & (T.has_alias(strong, mountain) | declared.isin("saint denis", "st denis"))
-    aliases = G.district_aliases()
-    fine = len(dict.fromkeys((a, n) for n in G.FINE_FIRST for a, m in aliases if m == n))
-    rest = [p for p in aliases[fine:] if p[0] != mountain]
-    hits = [F.when(T.has_alias(blob, a), F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name"))) for a, n in aliases[:fine]]
-    longer = [p for p in rest if len(p[0]) >= len(mountain)]
-    shorter = [p for p in rest if len(p[0]) < len(mountain)]
-    at_mountain = F.when(T.has_alias(blob, mountain) & allowed, F.struct(F.lit(mountain).alias("alias"), F.lit("La Montagne").alias("name")))
-    district = F.coalesce(*hits, first_alias(blob, longer), at_mountain, first_alias(blob, shorter))["name"]
-    by_text = F.coalesce(first_alias(strong, G.commune_aliases()), first_alias(blob, G.commune_aliases()))["name"]
-    by_name = lookup(declared, {a: n for a, n in reversed(G.commune_aliases())})
-    hit = F.coalesce(lookup(district, {n: v[0] for n, v in G.DISTRICTS.items()}), by_text, by_name)
-    given = F.when((commune != "") & (commune != UNKNOWN_CITY), commune)
-    place = F.coalesce(hit, given)
-    same = T.norm_nfd_space(place) == declared
-    has_declared = declared != ""
-    confidence = (
-        F.when(district.isNotNull(), F.when(has_declared & same, 0.90).otherwise(0.82))
-        .when(hit.isNotNull() & has_declared & same, 0.94)
-        .when(has_declared & place.isNotNull() & same, 0.82)
-        .when(hit.isNotNull(), 0.72)
-        .when(T.text(region) != "", 0.45)
-        .otherwise(0.35)
-    )
+    d = df.withColumns({"_blob": low(title, description, url, commune, region), "_strong": padded(low(title, url)), "_declared": T.norm_nfd_space(c(commune))})
+    view = F.col("_blob").rlike(r"\b(vue|vues|mer|ocean|panorama|panoramique|route|routes|chemin|sur)\b(?:\s+\w+){0,4}\s+la montagne\b")
+    allowed = ~view & (F.contains("_strong", F.lit(f" {mountain} ")) | F.col("_declared").isin("saint denis", "st denis"))
+    # a text that may not name the mountain is read without it
+    words = padded(F.col("_blob"))
+    d = d.withColumn("_words", F.when(allowed, words).otherwise(F.replace(words, F.lit(f" {mountain} "), F.lit(" # "))))
+    d = d.withColumns({"_district": first_alias(F.col("_words"), G.district_aliases())["name"], "_text": F.coalesce(first_alias(F.col("_strong"), G.commune_aliases()), first_alias(F.col("_words"), G.commune_aliases()))["name"]})
+    by_name = lookup(F.col("_declared"), {a: n for a, n in reversed(G.commune_aliases())})
+    d = d.withColumn("_hit", F.coalesce(lookup(F.col("_district"), {n: v[0] for n, v in G.DISTRICTS.items()}), "_text", by_name))
+    given = F.when((c(commune) != "") & (c(commune) != UNKNOWN_CITY), c(commune))
+    d = d.withColumn("_place", F.coalesce("_hit", given))
+    d = d.withColumn("_same", F.coalesce((F.col("_declared") != "") & (T.norm_nfd_space(F.col("_place")) == F.col("_declared")), F.lit(False)))
+    has, hit, same, region_known = F.col("_district").isNotNull(), F.col("_hit").isNotNull(), F.col("_same"), T.text(c(region)) != ""
+    confidence = F.when(has & same, 0.90).when(has, 0.82).when(hit & same, 0.94).when(same, 0.82).when(hit, 0.72).when(region_known, 0.45).otherwise(0.35)
     method = (
-        F.when(district.isNotNull(), "district_alias_match")
-        .when(hit.isNotNull() & has_declared & same, "declared_commune_confirmed_by_text")
-        .when(has_declared & place.isNotNull() & same, "declared_commune")
-        .when(hit.isNotNull(), "text_alias_match")
-        .when(T.text(region) != "", "region_only")
-        .otherwise("region_only_or_unknown")
-    )
+        F.when(has, "district_alias_match").when(hit & same, "declared_commune_confirmed_by_text").when(same, "declared_commune")
+        .when(hit, "text_alias_match").when(region_known, "region_only").otherwise("region_only_or_unknown")
+    )
+    d = d.withColumns({"_confidence": confidence, "_method": method})
+    place, district = F.col("_place"), F.col("_district")
     shown = F.when(district == "Bois de Nèfles Sainte-Clotilde", "Bois de Nèfles").otherwise(district)
-    return F.struct(
+    made = F.struct(
         F.coalesce(place, F.lit(UNKNOWN_CITY)).alias("commune_inferred"),
-        F.coalesce(lookup(place, {n: v[0] for n, v in G.COMMUNES.items()}), F.when(T.text(region) != "", region), F.lit(UNKNOWN_REGION)).alias("region_inferred"),
+        F.coalesce(lookup(place, {n: v[0] for n, v in G.COMMUNES.items()}), F.when(region_known, c(region)), F.lit(UNKNOWN_REGION)).alias("region_inferred"),
         F.coalesce(lookup(place, {n: v[1] for n, v in G.COMMUNES.items()}), F.lit("Non précisé")).alias("interco"),
         district.alias("district_best"),
-        F.coalesce(F.concat_ws(" · ", F.when(district.isNotNull() & place.isNotNull(), shown), place), F.lit("")).alias("precise_location_label"),
+        F.coalesce(F.concat_ws(" · ", F.when(place.isNotNull(), shown), place), F.lit(UNKNOWN_CITY)).alias("precise_location_label"),
         lookup(district, {n: str(v[1]) for n, v in G.DISTRICTS.items()}).try_cast("double").alias("lat"),
         lookup(district, {n: str(v[2]) for n, v in G.DISTRICTS.items()}).try_cast("double").alias("lon"),
         F.coalesce(place.isin(*G.FOCUS), F.lit(False)).alias("focus"),
-        confidence.alias("confidence"),
-        F.when(confidence >= 0.85, "haute").when(confidence >= 0.65, "moyenne").otherwise("faible").alias("quality"),
-        method.alias("method"),
+        F.col("_confidence").alias("confidence"),
+        F.when(F.col("_confidence") >= 0.85, "haute").when(F.col("_confidence") >= 0.65, "moyenne").otherwise("faible").alias("quality"),
+        F.col("_method").alias("method"),
     )
+    return d.withColumn(out, made).drop(*[x for x in d.columns if x.startswith("_") and x not in df.columns])

@@ -4,6 +4,7 @@ names the one it needs, and they are never mixed."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,11 +90,16 @@ def contains_all(blob: Column, query: Column) -> Column:
     return F.forall(F.split(query, " "), lambda t: F.contains(blob, t))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(blob: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(blob, F.lit(w))
-    return out
+    """Any of the words occurs somewhere; the text is computed once and the words are one constant."""
+    if not words:
+        return F.lit(False)
+    return F.coalesce(bind(blob, lambda b: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(b, w))), F.lit(False))
 
 
 def quoted(literal: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions import extract as X
 from rentgrid.functions import text as T
-from rentgrid.functions.geo import first_alias
+from rentgrid.functions.geo import first_alias, padded
 
 
 @dataclass
@@ -113,7 +113,8 @@ CITY_GUESS = {
 def guess_city(c: Column) -> Column:
     """A city named in a text, else a postal code of the market, else null."""
     low = F.translate(F.lower(T.text(c)), "-'", "  ")
-    named = F.coalesce(*[F.when(T.contains_any(low, words.split("|")), city) for city, words in CITY_GUESS.items()])
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(city).alias("city")) for city, words in CITY_GUESS.items() for w in words.split("|")])
+    named = T.bind(low, lambda t: F.get(F.filter(table, lambda p: F.contains(t, p["w"])), F.lit(0))["city"])
     return F.coalesce(named, X.group(T.text(c), r"\b(974\d{2})\b"))
 
 
@@ -187,4 +188,4 @@ def galleries(pages: DataFrame, limit: int = 24) -> DataFrame:
 def communes_named(pages: DataFrame, column: Column) -> DataFrame:
     from rentgrid.functions import gazetteer as G
 
-    return pages.withColumn("commune_named", first_alias(T.norm_nfd_space(column), G.commune_aliases())["name"])
+    return pages.withColumn("commune_named", first_alias(padded(T.norm_nfd_space(column)), G.commune_aliases())["name"])
