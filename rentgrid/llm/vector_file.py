@@ -8,7 +8,7 @@ keeps what may still be among the best of its block, and the bounds of all block
 lower bound on the last wanted score.  Then exact vectors are read in order of the upper bound: the
 best-bounded first, and of the rest only those whose bound still reaches the last wanted exact score.
 
-Defined results: vectors that are null, or hold null or non-finite components, and rows with a null
+Defined results: vectors that are null or empty, or hold null or non-finite components, and rows with a null
 id take no part; an id that is repeated keeps its smallest vector; vectors are compared only with
 those of equal length; fewer than k candidates give fewer rows; ties go to the smaller id.
 Scores must fit a signed long; block bounds are exact while scores stay below 2^53.
@@ -32,7 +32,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int =
     """(id, vec) of the rows that take part."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(~bad)
+    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0)).where(~bad)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("vec"))
     return rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
@@ -57,7 +57,8 @@ def _ranges(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(col), -1)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(col), len(flat) // max(1, len(col)))
 
 
 def _scan(ranges, cells: int, keep: int):
