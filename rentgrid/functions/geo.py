@@ -113,7 +113,7 @@ def infer_location(df: DataFrame, title: str = "title", description: str = "desc
     """``df`` with a struct of where a listing is, from its own text, with confidence and method.
 
     A named district decides; else the commune named in title or address, else in the whole text,
-    else the declared one.  A view of the mountain is not its district.  Each step is a column of its
+    else the declared one.  A view of the mountain is not its district (but names its commune).  Each step is a column of its
     own, so no expression is written out twice."""
     c = lambda n: N.column(df, n).cast("string")
     low = lambda *ns: T.norm_nfd_space(F.concat_ws(" ", *[T.text(c(n)) for n in ns]))
@@ -124,7 +124,7 @@ def infer_location(df: DataFrame, title: str = "title", description: str = "desc
     # a text that may not name the mountain is read without it
     words = padded(F.col("_blob"))
     d = d.withColumn("_words", F.when(allowed, words).otherwise(F.replace(words, F.lit(f" {mountain} "), F.lit(" # "))))
-    d = d.withColumns({"_district": first_alias(F.col("_words"), G.district_aliases())["name"], "_text": F.coalesce(first_alias(F.col("_strong"), G.commune_aliases()), first_alias(F.col("_words"), G.commune_aliases()))["name"]})
+    d = d.withColumns({"_district": first_alias(F.col("_words"), G.district_aliases())["name"], "_text": F.coalesce(first_alias(F.col("_strong"), G.commune_aliases()), first_alias(words, G.commune_aliases()))["name"]})
     by_name = lookup(F.col("_declared"), {a: n for a, n in reversed(G.commune_aliases())})
     d = d.withColumn("_hit", F.coalesce(lookup(F.col("_district"), {n: v[0] for n, v in G.DISTRICTS.items()}), "_text", by_name))
     given = F.when((c(commune) != "") & (c(commune) != UNKNOWN_CITY), c(commune))
