@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentgrid.llm import decontaminate, mixing, quality, sharding, simhash_dedup
-from rentgrid.llm._common import cut, fold, read, shared_dir, small
+from rentgrid.llm._common import cut, fold, read, shared_dir, small, stored
 
 ORACLE_SQL = None
 
@@ -46,8 +46,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     try:
         numbered = docs.withColumn("_rg_place", place)
         numbered.schema
-    except AnalysisException:  # not read from files: there is no order to keep
-        numbered = docs.withColumn("_rg_place", F.concat_ws("/", F.xxhash64("text"), F.col("doc_id")))
+    except AnalysisException:  # not read from files: written first, as only a table has an order
+        numbered = stored(docs).withColumn("_rg_place", place)
     # the place stands in for the id: it is unique where the id need not be
     plan = sharding.shard(numbered, key=F.col("_rg_place"), id_col="_rg_place").select(F.col("doc_id").alias("_rg_at"), "shard", "slot")
     return numbered.join(plan, F.col("_rg_place") == F.col("_rg_at")).drop("_rg_place", "_rg_at")
