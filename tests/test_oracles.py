@@ -21,7 +21,7 @@ def duck(sf):
 def text(x) -> str:
     if isinstance(x, (list, np.ndarray)):
         return str([text(y) for y in x])
-    if x is None or x is pd.NaT or (isinstance(x, (float, np.floating)) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, (float, np.floating)) and x != x):
         return "null"
     if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, (bool, np.bool_)):
         return repr(round(float(x), 6) + 0.0)
