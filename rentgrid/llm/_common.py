@@ -11,25 +11,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (a few dozen bytes a row) may be broadcast after it was counted.
-BROADCAST_ROWS = 100_000
+from rentgrid.operators.lineage import cut, shared_dir
 
+__all__ = ["cut", "fold", "read", "shared_dir", "ship", "small", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="rentgrid-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the reliable checkpoint folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows up to which a narrow side (a few dozen bytes a row) may be broadcast after it was counted.
+BROADCAST_ROWS = 100_000
 
 
 def stored(df: DataFrame) -> DataFrame:

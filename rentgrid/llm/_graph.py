@@ -1,47 +1,5 @@
-"""Distributed union-find over an edge list: alternating large-star and small-star rounds."""
+"""Distributed union-find: the library's star contraction."""
 
-from __future__ import annotations
+from rentgrid.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from rentgrid.llm._common import cut
-
-#: The star contraction needs O(log^2 n) rounds; 60 is out of reach for any graph that fits on disk.
-MAX_ROUNDS = 60
-
-
-def _forest(e: DataFrame) -> bool:
-    """Whether each child has one root and no root is itself a child."""
-    kids = e.groupBy("u").agg(F.count("*").alias("n"))
-    many = kids.where("n > 1").limit(1)
-    deep = e.select(F.col("v").alias("u")).join(kids, "u", "left_semi").limit(1)
-    return not many.select("u").unionByName(deep.select("u")).head(1)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of the undirected ``edges``; root is the smallest node reachable.
-
-    Nulls and loops are ignored, repeated edges count once, no edges give no rows.  Every round
-    contracts stars with two aggregations and is written to the shared checkpoint folder; nothing
-    is collected.  A hot node's edges are pre-aggregated before the shuffle, and the joins back
-    are plain equi joins that adaptive execution may split."""
-    e = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    for _ in range(MAX_ROUNDS):
-        if _forest(e):
-            roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        # large star: of each node's neighbours the larger ones move to the smallest
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = large.where("u != v").distinct()
-        # small star: a node and its smaller neighbours move to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not converge in {MAX_ROUNDS} rounds")
+__all__ = ["components"]
