@@ -204,6 +204,41 @@ def test_line_dedup_keeps_forms_and_blank_lines(spark, awkward, nothing):
     assert rows(line_dedup.drop_similar_lines(nothing)) == []
 
 
+def brute_full_lines(texts, similarity=0.8):
+    """Dropped line numbers of {doc: text}, by the Jaccard of shingles at every character of every two lines."""
+    fold = lambda x: " ".join(x.lower().split())
+    places = collections.defaultdict(list)
+    for d, t in texts.items():
+        for n, x in enumerate(t.split("\n")):
+            places[fold(x)].append((d, n))
+    s, sets = Sets(places), {x: {x[i : i + 9] for i in range(len(x) - 8)} for x in places}
+    for a, b in itertools.combinations(places, 2):
+        if min(len(sets[a]), len(sets[b])) > 1 and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            s.join(a, b)
+    members = collections.defaultdict(list)
+    for x, ps in places.items():
+        members[s.find(x)] += ps
+    gone = {p for ps in members.values() for p in sorted(ps)[1:]}
+    return {d: sorted(n for e, n in gone if e == d) for d in texts}
+
+
+def test_line_dedup_takes_shingles_at_every_character(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 16))) for _ in range(300)]
+    texts = dict(enumerate(["order 1234567890123 shipped", "order 1234567899999 shipped", "see https://example.com/a1b2 today", "see https://example.org/zz99 today", "漢字かな交じり文の😀長い一行である一", "漢字かな交じり文の😀長い一行である二"]))
+    for d in range(len(texts), 150):
+        line = list(" ".join(rng.choice(vocab) for _ in range(rng.randrange(4, 30))))
+        near = list(line)
+        for _ in range(rng.randrange(1, 3)):
+            near[rng.randrange(len(near))] = rng.choice("xyz")
+        texts[d] = "".join(line) + "\n" + "".join(near)
+    want = brute_full_lines(texts)
+    assert not any(want[d] for d in range(4)) and sum(map(len, want.values())) > 50
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for band in (32, 2):
+        assert {d: sorted(x) for d, x in rows(line_dedup.drop_similar_lines(df, max_band=band), "doc_id", "dropped")} == want
+
+
 # ---- op 4
 
 
