@@ -6,12 +6,17 @@ block with the earliest deadline goes (ties: the smaller source name).  As the w
 every block goes within its window, so at any time the number of blocks a source has had differs
 from its share by less than one.
 
-Weights are shares of ``resolution`` slots (by largest remainders, one at least), so the schedule
-repeats after ``resolution`` slots: that one period, a constant of the weights, is worked out when
-the plan is built, and block i of a source with share a falls in period i div a, at the place the
-period gives to i mod a.  Ranks within a source are taken in hashed buckets of about ``bucket_rows``
-rows with prefix sums over the buckets' counts, so a source with a third of all rows is split, and
-positions are ranked period by period, whose size is fixed.
+Weights are taken as integer shares (plain largest remainders) of a period of slots, the shortest one
+from ``resolution`` on over whose repetitions no source drifts from its weight by a block in as many
+slots as the table has blocks; a period as long as that always does.  So weights like 0.7, 0.2 and 0.1
+are followed exactly, to less than one block, and any others to less than two, one of them by rounding.
+The period is worked out when the plan is built: block i of a source with share a falls in
+period i div a, at the place the period gives to i mod a.  A source whose share is rounded to nothing
+is due less than one block in all these slots: its blocks go when they are due, in slots others may have too.
+
+Ranks within a source are taken in hashed buckets of about ``bucket_rows`` rows with prefix sums over
+the buckets' counts, so a source with a third of all rows is split, and positions are ranked stretch
+by stretch of ``STRETCH`` slots.
 
 Every row is kept.  Slots of a source that has run out stay empty and the others follow in the same
 order, so the targets hold until the first source runs out.
@@ -25,34 +30,54 @@ without rows is ignored; repeated rows each get a position; an empty table gives
 from __future__ import annotations
 
 import heapq
-import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.llm._common import cut, stored
 
-#: The period's table has ``resolution`` rows, so the number of sources is bounded by it.
+#: Least slots of a period, rows of a block, rows of a bucket.
 RESOLUTION, BLOCK_ROWS, BUCKET_ROWS = 1000, 8, 20_000
+#: Slots whose rows are ranked together; rows up to which the period's table is broadcast; weights tried in search of a period.
+STRETCH, PLAN_ROWS, TRIED = 1000, 1_000_000, 50_000_000
 
 
-def shares(rows: dict[str, int], targets: dict[str, float] | None, resolution: int) -> dict[str, int]:
-    """Integer shares of ``resolution`` by source; each source has one at least."""
-    if len(rows) > resolution:
-        raise ValueError(f"{len(rows)} sources need a resolution of as many slots at least, not {resolution}")
+def weights(rows: dict[str, int], targets: dict[str, float] | None) -> dict[str, float]:
+    """The weight of each source with rows; they add up to 1."""
     given = {s: float(w) for s, w in (targets or {}).items() if s in rows and w > 0}
     rest = {s: math.sqrt(n) for s, n in rows.items() if s not in given}
     left = max(1 - sum(given.values()), min(given.values(), default=1.0)) if rest else 0
-    weights = given | {s: left * x / sum(rest.values()) for s, x in rest.items()}
-    total = sum(weights.values())
-    exact = {s: w / total * (resolution - len(rows)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: resolution - sum(out.values())]:
+    wanted = given | {s: left * x / sum(rest.values()) for s, x in rest.items()}
+    total = math.fsum(wanted.values())
+    return {s: w / total for s, w in wanted.items()}
+
+
+def shares(rows: dict[str, int], targets: dict[str, float] | None, resolution: int) -> dict[str, int]:
+    """Integer shares of ``resolution`` by source, by largest remainders."""
+    exact = {s: w * resolution for s, w in weights(rows, targets).items()}
+    out = {s: math.floor(x + 1e-9) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: resolution - sum(out.values())]:
         out[s] += 1
     return out
 
 
+def slots(wanted: dict[str, float], n_blocks: int, least: int) -> int:
+    """The shortest period, from ``least`` on, whose rounding makes no source drift by a block in ``n_blocks`` slots."""
+    w, most = np.array(list(wanted.values())), max(n_blocks, least)
+    step = max(1, 1_000_000 // len(w))
+    for low in range(least, min(most, least + TRIED // len(w)), step):
+        q = np.arange(low, min(low + step, most))
+        exact = q[:, None] * w
+        near = np.rint(exact)
+        fits = (near.sum(1) == q) & (np.abs(near - exact).max(1) * n_blocks < q)
+        if fits.any():
+            return int(q[fits.argmax()])
+    return most
+
+
 def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, i, slot) of one period: earliest deadline first among the released blocks."""
     q = sum(parts.values())
@@ -75,13 +100,19 @@ def mix(
     """(doc_id, source, block, slot, position) of every row; position numbers all rows from 0 without gaps."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).alias("source"))
-    counts = {r.src: r.n for r in rows.groupBy("src").agg(F.count("*").alias("n")).limit(resolution + 1).collect()}
-    parts = shares(counts, targets, resolution) if counts else {}
-    plan = [{"src": s, "i": i, "slot": t, "share": parts[s]} for s, i, t in period(parts)] if parts else []
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<src:string,i:long,slot:long,share:long>>")))
-    split = spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps([{"src": s, "share": parts[s], "buckets": -(-n // bucket_rows)} for s, n in counts.items()])), "array<struct<src:string,share:long,buckets:long>>"))
-    )
+    counts = {r.src: r.n for r in rows.groupBy("src").agg(F.count("*").alias("n")).collect()}
+    wanted = weights(counts, targets) if counts else {}
+    length = slots(wanted, sum(-(-n // block_rows) for n in counts.values()), resolution) if counts else resolution
+    parts = shares(counts, targets, length) if counts else {}
+    plan = period(parts) if parts else []
+    columns = [[x[k] for x in plan] for k in range(3)]
+    table = spark.createDataFrame(pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["src", "i", "at"]))
+    table = F.broadcast(table) if len(plan) <= PLAN_ROWS else table
+    names = list(counts)
+    split = spark.createDataFrame(pa.table(
+        [pa.array(names, pa.string()), pa.array([parts[s] for s in names], pa.int64()), pa.array([wanted[s] for s in names], pa.float64()), pa.array([-(-counts[s] // bucket_rows) for s in names], pa.int64())],
+        ["src", "share", "weight", "buckets"],
+    ))
     order = F.xxhash64("doc_id")
     dealt = rows.join(F.broadcast(split), "src").withColumn("order", order).withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(7)), "buckets"))
     sizes = dealt.groupBy("src", "bucket").agg(F.count("*").alias("n"))
@@ -89,14 +120,17 @@ def mix(
     offsets = sizes.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("order", "doc_id"))).join(offsets, ["src", "bucket"])
     ranked = ranked.withColumn("rank", F.col("offset") + F.col("rn") - 1).withColumn("block", F.expr(f"rank div {block_rows}"))
-    ranked = ranked.withColumns({"period": F.expr("block div share"), "i": F.expr("block % share")})
-    placed = stored(ranked.join(F.broadcast(table.drop("share")), ["src", "i"]).select("doc_id", "source", "src", "block", "rank", "period", (F.col("period") * resolution + F.col("slot")).alias("slot")))
-    filled = cut(placed.groupBy("period").agg(F.count("*").alias("n")))  # one row for each resolution * block_rows rows
-    earlier = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select("period", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("period").orderBy("slot", "rank")
+    ranked = ranked.withColumns({"period": F.expr("if(share > 0, block div share, null)"), "i": F.expr("if(share > 0, block % share, null)")})
+    due = F.ceil((F.col("block") + 1) / F.col("weight")) - 1
+    slot = F.when(F.col("share") > 0, F.col("period") * length + F.col("at")).otherwise(due)
+    placed = ranked.join(table, ["src", "i"], "left").select("doc_id", "source", "src", "block", "rank", slot.alias("slot"))
+    placed = stored(placed.withColumn("stretch", F.expr(f"slot div {STRETCH}")))
+    filled = cut(placed.groupBy("stretch").agg(F.count("*").alias("n")))  # one row for each STRETCH * block_rows rows
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = filled.select("stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("stretch").orderBy("slot", "src", "rank")
     return (
-        placed.withColumn("rn", F.row_number().over(within)).join(starts, "period")
+        placed.withColumn("rn", F.row_number().over(within)).join(starts, "stretch")
         .select("doc_id", "source", "block", "slot", (F.col("start") + F.col("rn") - 1).alias("position"))
     )
 

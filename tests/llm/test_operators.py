@@ -411,6 +411,28 @@ def test_mix_keeps_every_row_at_its_share(spark, awkward, nothing):
     assert sorted(map(str, rows(mixing.mixed(awkward, None)))) == sorted(map(str, rows(awkward)))
 
 
+@pytest.mark.parametrize("targets,limit", [({"a": 0.7, "b": 0.2, "c": 0.1}, 1), ({"a": 2**0.5, "b": 1, "c": 0.01}, 2)])
+def test_mix_follows_the_given_weights_over_several_periods(spark, targets, limit):
+    total = sum(targets.values())
+    sizes = {s: int(w / total * 40_000) for s, w in targets.items()}
+    df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = rows(mixing.mix(df, targets, resolution=100).groupBy("slot", "source").count(), "slot", "source")
+    had, last = dict.fromkeys(targets, 0), int(0.99 * sum(sizes.values()) / 8)
+    for t, s in sorted(got)[:last]:
+        had[s] += 1
+        assert sum(had.values()) == t + 1
+        assert all(abs(had[k] - (t + 1) * w / total) < limit for k, w in targets.items())
+
+
+def test_mix_takes_any_number_of_sources(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 1500)).alias("source"))
+    got = sorted(rows(mixing.mix(df, {"big": 0.5}), "position", "source"))
+    assert [x[0] for x in got] == list(range(6000))
+    assert mixing.shares({"big": 1} | {f"s{i}": 1 for i in range(499)}, {"big": 0.5}, 1000)["big"] == 500
+    # blocks of the small sources hold two rows, so half the slots to big's end give it four rows in five
+    assert abs(sum(s == "big" for _, s in got[:1000]) - 800) <= 8
+
+
 # ---- op 8
 
 
