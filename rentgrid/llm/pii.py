@@ -7,11 +7,13 @@ has the point-wise mutual information log(N * df(t, c) / (df(t) * df(c))), and i
 that over the entity's information content log(N / df(c)): 1 if every document with the term has
 the entity near it, 0 if they are independent.  Terms at or over ``generalise_at`` that are seen in
 ``support`` different contexts of the entity (so that copies of one passage are one witness) become
-spans too, in the documents that hold the entity: generalised to their kind, or removed from
-``remove_at`` on.  Base spans are never changed by this.
+spans too, wherever they stand in the documents that hold the entity: generalised to their kind, or
+removed from ``remove_at`` on.  Documents that do not hold the entity keep the term, as they have no
+mention of it to protect.  Base spans are never changed by this.
 
 Every document counts in every statistic.  Terms and entities are counted by partial sums before
-any shuffle, pairs only arise between a mention and the few words around it.
+any shuffle, pairs only arise between a mention and the few words around it.  Texts with terms to mark
+are read once more; they meet their terms by MD5.
 
 Defined results: null is the empty text; base spans of different kinds may overlap; overlapping
 spans are replaced as one, under the first one's name; repeated rows each get their row and each
@@ -21,8 +23,9 @@ count as a document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -78,22 +81,43 @@ def entity(kind: str, value: str) -> str:
 
 def nearby(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int, int]]:
     """(entity, term, start, end, context) of the words within ``reach`` words of each base span, on either side."""
-    out = []
+    found = [(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]
+    starts, ends = [x for _, x, _ in found], [y for _, _, y in found]
+    out, free = [], uncovered(spans)
     for kind, a, b in spans:
-        left = text[max(0, a - 40 * reach) : a]
-        before = [(m.group().lower(), m.start() + a - len(left), m.end() + a - len(left)) for m in _WORD.finditer(left)][-reach:]
-        after = []
-        for m in _WORD.finditer(text, b, b + 40 * reach):
-            after.append((m.group().lower(), *m.span()))
-            if len(after) == reach:
-                break
-        words = [w for w in before + after if not any(x < w[2] and w[1] < y for _, x, y in spans)]
+        last, first = bisect_right(ends, a), bisect_left(starts, b)
+        words = [w for w in found[max(0, last - reach) : last] + found[first : first + reach] if free(w[1], w[2])]
         context = xxhash.xxh64_intdigest(" ".join(w for w, _, _ in words)) - (1 << 63)
         out += [(entity(kind, text[a:b]), w, x, y, context) for w, x, y in words]
     return out
 
 
+def uncovered(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Tells of a place whether it overlaps none of the spans."""
+    merged: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def free(x: int, y: int) -> bool:
+        i = bisect_left(starts, y)
+        return i == 0 or merged[i - 1][1] <= x
+
+    return free
+
+
+def occurrences(text: str, actions: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, action) of every place of the terms outside base spans."""
+    hits = [(*m.span(), actions[w]) for m in _WORD.finditer(text) if (w := m.group().lower()) in actions]
+    free = uncovered(base_spans(text)) if hits else None
+    return [h for h in hits if free(h[0], h[1])]
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+_TERM = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("action", pa.string())])
 _NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("context", pa.int64())])
 
 
@@ -106,11 +130,19 @@ def _find(reach: int):
             base = pa.array([[dict(zip(("kind", "a", "b"), x)) for x in s] for s in spans], pa.list_(_SPAN))
             around = pa.array([[dict(zip(("entity", "term", "a", "b", "context"), x)) for x in n] for n in near], pa.list_(_NEAR))
             entities = pa.array([sorted({entity(k, t[x:y]) for k, x, y in s}) for t, s in zip(texts, spans)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), base, entities, around], ["uid", "doc_id", "base", "entities", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), base, entities, around], ["uid", "doc_id", "key", "base", "entities", "near"])
 
     return run
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, terms) of texts and their (term, action)s."""
+    for b in batches:
+        both = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+        terms = [[dict(zip(("a", "b", "action"), x)) for x in occurrences(t, {w["term"]: w["action"] for w in ws})] for t, ws in both]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(_TERM))], ["key", "terms"])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n): in how many of this task's documents each term occurs."""
     total: Counter[str] = Counter()
@@ -134,8 +166,8 @@ def find_spans(
     """One row per row of ``docs``: doc_id, base (kind, a, b) by kind and start, and terms (a, b, action) by start."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"uid long, doc_id {kind}, base array<struct<kind:string,a:int,b:int>>, entities array<string>, near array<struct<entity:string,term:string,a:int,b:int,context:long>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("key"))
+    schema = f"uid long, doc_id {kind}, key binary, base array<struct<kind:string,a:int,b:int>>, entities array<string>, near array<struct<entity:string,term:string,a:int,b:int,context:long>>"
     found = stored(rows.mapInArrow(_find(reach), schema))
     n_docs = found.count()
     pairs = found.select("uid", F.explode("near").alias("w")).select("uid", "w.*")
@@ -148,10 +180,14 @@ def find_spans(
     pmi = F.log(F.lit(float(n_docs)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     scored = scored.withColumn("disclosure", pmi / F.log(F.lit(float(n_docs)) / F.col("n_entity"))).where(F.col("disclosure") >= generalise_at)
     risky = small(cut(scored.select("entity", "term", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))))
-    spans = pairs.join(risky, ["entity", "term"]).groupBy("uid", "a", "b").agg(F.max("action").alias("action"))
-    marked = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "action"))).alias("terms"))
-    none = F.array().cast("array<struct<a:int,b:int,action:string>>")
-    return found.select("uid", "doc_id", "base").join(small(cut(marked)), "uid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    held = found.select("key", F.explode("entities").alias("entity")).distinct()
+    actions = held.join(risky, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))
+    wanted = small(stored(actions.groupBy("key").agg(F.collect_list(F.struct("term", "action")).alias("actions"))))
+    texts = docs.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").select("key", "text", "actions")
+    listed = "array<struct<a:int,b:int,action:string>>"
+    marked = texts.mapInArrow(_mark, f"key binary, terms {listed}").where(F.size("terms") > 0).groupBy("key").agg(F.first("terms").alias("terms"))
+    none = F.array().cast(listed)
+    return found.select("doc_id", "key", "base").join(small(stored(marked)), "key", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def redact(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int, str]]) -> str:

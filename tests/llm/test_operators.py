@@ -275,6 +275,23 @@ def test_revealing_terms_are_marked_where_the_entity_is(spark, awkward, nothing)
     assert rows(pii.find_spans(nothing)) == []
 
 
+def test_revealing_terms_are_marked_in_the_whole_document(spark):
+    far = "Reach Zorblax via jo@x.io {} today and then some more words follow here until zorblax ends"
+    texts = [far.format(w) for w in ("please", "quickly", "again", "now", "soon")] + ["only Zorblax stands here"]
+    texts += [f"{w} please quickly again today soon now reach via and then some more words follow here until ends" for w in ("some", "other", "text") * 10]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id long, text string")
+    marked = {d: [(texts + texts[:1])[d][a:b] for a, b, _ in terms] for d, terms in rows(pii.find_spans(df), "doc_id", "terms")}
+    assert all(marked[d] == ["Zorblax", "zorblax"] for d in (0, 1, 2, 3, 4, len(texts)))
+    assert not any(marked[d] for d in range(5, len(texts)))  # the entity is not there
+    assert all("orblax" not in t for d, t in rows(pii.sanitise(df)) if d < 5)
+
+
+def test_reach_is_counted_in_words():
+    text = "edgeword " + " ".join(c * 60 for c in "abcd") + " jo@x.io " + " ".join(c * 60 for c in "efgh") + " lastword beyond"
+    got = [w for _, w, *_ in pii.nearby(text, pii.base_spans(text), 5)]
+    assert got == ["edgeword", *(c * 60 for c in "abcdefgh"), "lastword"]
+
+
 # ---- op 5
 
 
