@@ -8,15 +8,18 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentgrid.operators.lineage import cut, shared_dir
 
-__all__ = ["cut", "fold", "read", "shared_dir", "ship", "small", "stored"]
+__all__ = ["PLACE", "cut", "fold", "placed", "read", "shared_dir", "ship", "small", "stored"]
 
 #: Rows up to which a narrow side (a few dozen bytes a row) may be broadcast after it was counted.
 BROADCAST_ROWS = 100_000
+#: Name of the column that holds a row's place in its table.
+PLACE = "_rg_place"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -29,6 +32,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``PLACE``: each row's place in the table it is read from, in the order of the
+    numbers of its files.  A frame that comes from no file is stored first, as only a table has places."""
+    number = F.lpad(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), 12, "0")
+    at = F.concat_ws("/", number, F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
+    try:
+        out = df.withColumn(PLACE, at)
+        out.schema
+    except AnalysisException:
+        out = stored(df).withColumn(PLACE, at)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python stages can import it."""
     sc = spark.sparkContext

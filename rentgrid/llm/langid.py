@@ -6,10 +6,13 @@ substring continues with the next character, a phrase ends and the next one star
 phrases over n characters and a sample of L characters, c * log2(L) / n estimates the bits a
 character costs, and the language with the fewest wins (ties: the smaller name).
 
-The sample is bounded by ``max_docs`` texts a language, chosen by a hash of the id, and
-``max_chars`` of their normalised characters.  Texts to predict are read whole: they are cut into
-pieces of ``PIECE`` characters only to be parsed side by side, and a phrase ends at a cut, for
-every language alike.
+The sample to learn from is bounded: of a language ``max_docs`` texts, chosen by a hash of the id, and of
+these ``max_chars`` characters.  Longer texts give only their beginnings, all cut at the same length,
+the one at which the bound is met.  Texts to predict are read whole: they are cut into pieces of
+``PIECE`` characters only to be parsed side by side, and a phrase ends at a cut, for every language
+alike.
+
+Every character of any sample is a symbol of its own; one that no sample has continues no substring.
 
 Normalisation: letters are lower-cased one by one, any run of other characters is one space.
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is any text
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from rentgrid.llm._common import ship
 
 PIECE, BATCH = 1024, 2_000_000
+#: So many of the commonest characters have a column in the transition tables.
+DENSE = 254
 _LETTERS: list[np.ndarray] = []
 _MODELS: dict[str, Model] = {}
 
@@ -57,8 +62,9 @@ def normalise(text: str | None) -> np.ndarray:
     return x[int(len(x) > 0 and x[0] == 32) : len(x) - int(len(x) > 1 and x[-1] == 32)]
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Flat transition table of the suffix automaton: row s, column code; rows are stored times
+def automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton: a flat table with a row a state and a column for each code below
+    ``width``, and, sorted by state << 32 | code, keys and targets of all others.  States are stored times
     ``width``; row 0 is the dead state and row 1 the root."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
@@ -91,20 +97,23 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
     table = np.zeros(len(nxt) * width, np.int32)
     for s, edges in enumerate(nxt):
         for c, t in edges.items():
-            table[s * width + c] = t * width
-    return table
+            if c < width:
+                table[s * width + c] = t * width
+    rare = sorted(((s * width) << 32 | c, t * width) for s, edges in enumerate(nxt) for c, t in edges.items() if c >= width)
+    return table, np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
 
 
 class Model:
-    """Automata of all languages over one alphabet; code 0 stands for characters no sample has."""
+    """Automata of all languages over one alphabet, the commonest characters first; code 0 stands for those no sample has."""
 
     def __init__(self, samples: dict[str, str]):
         points = {k: normalise(v) for k, v in sorted(samples.items())}
         points = {k: v for k, v in points.items() if len(v)}
-        alphabet = sorted(c for c, _ in Counter(x for v in points.values() for x in v.tolist()).most_common(254))
+        counts = Counter(x for v in points.values() for x in v.tolist())
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))
         self.names = list(points)
-        self.width = len(alphabet) + 1
-        self.code = np.zeros(0x110000, np.uint8)
+        self.width = min(len(alphabet), DENSE) + 1
+        self.code = np.zeros(0x110000, np.uint8 if len(alphabet) <= DENSE else np.int32)
         for i, c in enumerate(alphabet):
             self.code[c] = i + 1
         self.bits = [math.log2(len(v) + 1) for v in points.values()]
@@ -114,17 +123,28 @@ class Model:
         """Phrases of each piece by language; pieces: codes by position and piece, longest piece first."""
         out = np.empty((len(self.tables), len(lengths)), np.int32)
         alive = np.searchsorted(-lengths, -np.arange(pieces.shape[0]), side="left")
-        for k, table in enumerate(self.tables):
-            first = table[self.width : 2 * self.width]
+        for k, (table, keys, targets) in enumerate(self.tables):
+
+            def step(state, c):
+                if c.dtype == np.uint8:  # no character is rare
+                    return table[state + c]
+                t = table[state + np.where(c < self.width, c, 0)]
+                rare = np.flatnonzero(c >= self.width)
+                if len(rare) and len(keys):
+                    key = state[rare].astype(np.int64) << 32 | c[rare]
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    t[rare] = np.where(keys[at] == key, targets[at], 0)
+                return t
+
             state = np.full(len(lengths), self.width, np.int32)
             count = np.ones(len(lengths), np.int32)
             for i, n in enumerate(alive.tolist()):
                 c = pieces[i, :n]
-                t = table[state[:n] + c]
+                t = step(state[:n], c)
                 dead = np.flatnonzero(t == 0)
                 if len(dead):
                     count[dead] += 1
-                    again = first[c[dead]]
+                    again = step(np.full(len(dead), self.width, np.int32), c[dead])
                     again[again == 0] = self.width
                     t[dead] = again
                 state[:n] = t
@@ -141,7 +161,7 @@ class Model:
             return lang, score
         parts.sort(key=lambda p: -len(p[1]))
         lengths = np.array([len(x) for _, x in parts])
-        pieces = np.zeros((lengths[0], len(parts)), np.uint8)
+        pieces = np.zeros((lengths[0], len(parts)), self.code.dtype)
         for j, (_, x) in enumerate(parts):
             pieces[: len(x), j] = x
         owner = np.array([i for i, _ in parts])
@@ -153,18 +173,28 @@ class Model:
         return lang, score
 
 
+def cut_length(lengths: list[int], most: int) -> int:
+    """The greatest length at which to cut texts so that they have ``most`` characters together, or fewer."""
+    left, at = most, 0
+    for i, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - i) > left:
+            return left // (len(lengths) - i)
+        left, at = left - n, n
+    return at
+
+
 def sample(labelled: DataFrame, max_docs: int, max_chars: int, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
-    """Bounded training text by language: whole texts by a hash of the id until ``max_chars``."""
+    """Bounded training text by language: the texts with the smallest hashes of the id, cut at one length."""
     by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     picked = rows.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= max_docs)
-    picked = picked.select("lang", "rn", F.substring("text", 1, max_chars).alias("text"))
+    texts: dict[str, list[str]] = {}
+    for r in sorted(picked.select("lang", "rn", F.substring("text", 1, max_chars).alias("text")).collect(), key=lambda r: (r.lang, r.rn)):
+        texts.setdefault(r.lang, []).append(r.text)  # at most max_docs rows of max_chars a language
     out: dict[str, str] = {}
-    share = max(1, 4 * max_chars // max_docs)
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.rn)):  # at most max_docs rows of max_chars a language
-        got = out.get(r.lang, "")
-        if len(got) < max_chars:
-            out[r.lang] = (got + "\n" + r.text[:share])[:max_chars]
+    for lang, own in texts.items():
+        length = cut_length(list(map(len, own)), max_chars)
+        out[lang] = "\n".join(t[:length] for t in own)
     return out
 
 

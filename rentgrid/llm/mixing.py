@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentgrid.llm._common import cut, stored
+from rentgrid.llm._common import PLACE, cut, placed, stored
 
 #: Least slots of a period, rows of a block, rows of a bucket.
 RESOLUTION, BLOCK_ROWS, BUCKET_ROWS = 1000, 8, 20_000
@@ -94,12 +94,14 @@ def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def mix(
-    docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
+    docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", order_col: str | None = None,
     resolution: int = RESOLUTION, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(doc_id, source, block, slot, position) of every row; position numbers all rows from 0 without gaps."""
+    """(doc_id, source, block, slot, position) of every row; position numbers all rows from 0 without gaps.
+
+    A source's rows are taken in the order of a hash of ``order_col``, which is the id if not given."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).alias("source"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(order_col or id_col).alias("order"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).alias("source"))
     counts = {r.src: r.n for r in rows.groupBy("src").agg(F.count("*").alias("n")).collect()}
     wanted = weights(counts, targets) if counts else {}
     length = slots(wanted, sum(-(-n // block_rows) for n in counts.values()), resolution) if counts else resolution
@@ -113,8 +115,7 @@ def mix(
         [pa.array(names, pa.string()), pa.array([parts[s] for s in names], pa.int64()), pa.array([wanted[s] for s in names], pa.float64()), pa.array([-(-counts[s] // bucket_rows) for s in names], pa.int64())],
         ["src", "share", "weight", "buckets"],
     ))
-    order = F.xxhash64("doc_id")
-    dealt = rows.join(F.broadcast(split), "src").withColumn("order", order).withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(7)), "buckets"))
+    dealt = rows.join(F.broadcast(split), "src").withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(7)), "buckets"))
     sizes = dealt.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -138,10 +139,9 @@ def mix(
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", **more) -> DataFrame:
     """``docs`` in the order of the schedule: range-partitioned and sorted by position, columns unchanged.
 
-    Rows that share an id and a source trade places freely."""
-    places = mix(docs, targets, id_col, **more)
-    nth = Window.partitionBy("_rg_id").orderBy("position")
-    many = places.select(F.col("doc_id").alias("_rg_id"), "position").withColumn("_rg_n", F.row_number().over(nth)).withColumnRenamed("position", "_rg_position")
-    mine = docs.withColumn("_rg_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
-    met = mine.join(many, mine[id_col].eqNullSafe(many["_rg_id"]) & (mine["_rg_n"] == many["_rg_n"]))
+    Rows are told apart by their places in the table's files, so null and repeated ids each keep their row;
+    texts are moved twice, to meet their positions and to be put in order."""
+    mine = placed(docs)
+    places = mix(mine, targets, PLACE, order_col=id_col, **more).select(F.col("doc_id").alias("_rg_at"), F.col("position").alias("_rg_position"))
+    met = mine.join(places, mine[PLACE] == places["_rg_at"])
     return met.repartitionByRange("_rg_position").sortWithinPartitions("_rg_position").select(*[mine[c] for c in docs.columns])

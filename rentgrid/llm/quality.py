@@ -2,10 +2,11 @@
 
 A text becomes a vector of statistics (shares of character classes, word and line shapes,
 repetition).  Standardised, they are projected by a fixed random matrix through a cosine, which
-approximates a Gaussian kernel.  Every partition sums its own part of the normal equations; the sums
-are added in a tree of bounded fan-in, and the driver solves one system of ``features`` unknowns.
-Raw scores of the labelled rows are counted by label in fixed bins, and pool-adjacent-violators on
-the bins gives the calibration.
+approximates a Gaussian kernel.  Every partition sums its own part of the normal equations, apart for
+two halves of the labelled rows; the sums are added in a tree of bounded fan-in, and the driver solves
+systems of ``features`` unknowns.  Each half is scored by the equations of the other one; these raw
+scores are counted by label in fixed bins, and pool-adjacent-violators on the bins gives the
+calibration of the scores by all rows' equations.
 
 Defined results: null and empty texts have all-zero statistics and are scored like any other; a
 doc_id labelled more than once counts as often; rows without a label, or with a null one, teach
@@ -96,24 +97,34 @@ class Kernel:
 
 
 def _sums(kernel: Kernel):
-    """One row per task: the sums of f f' and f y over its rows, as bytes, with a slot for the tree."""
+    """One row per task: for both halves of its rows (x, y, half) the sums of f f' and f y, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(kernel.b) + 1
-        total = np.zeros((size, size + 1))
+        total = np.zeros((2, size, size + 1))
         for b in batches:
             if b.num_rows:
-                f = kernel(_matrix(b.column(0)))
-                total += f.T @ np.hstack([f, b.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]])
+                f, half = kernel(_matrix(b.column(0))), b.column(2).to_numpy(zero_copy_only=False)
+                both = np.hstack([f, b.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]])
+                for k in range(2):
+                    total[k] += f[half == k].T @ both[half == k]
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
     return run
 
 
-def _add(key, group: pa.Table) -> pa.Table:
+def _add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py()) for x in group["s"])
-    return pa.table([pa.array([total.tobytes()], pa.binary())], ["s"])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "s"])
+
+
+def added(sums: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """(slot, s): at most ``fan_in`` sums, of (slot, s) with a slot for each row; no task adds more than ``fan_in``."""
+    ship(sums.sparkSession)
+    while (sums := cut(sums)).count() > fan_in:
+        sums = sums.groupBy(F.expr(f"slot div {fan_in}").cast("int").alias("slot")).applyInArrow(_add, "slot int, s binary")
+    return sums
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -129,7 +140,8 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def train(x: DataFrame, labels: DataFrame, features: int = 256, width: float = 0.7, ridge: float = 1e-3, seed: int = 17):
     """A function from a matrix of statistics to scores, learned from (doc_id, x) and (doc_id, y)."""
-    known = cut(x.join(labels.where("y is not null"), "doc_id").select("x", F.col("y").cast("int").alias("y")))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    known = cut(x.join(labels.where("y is not null"), "doc_id").select("x", F.col("y").cast("int").alias("y"), half))
     share = known.agg(F.avg("y").alias("p")).head().p
     if share is None or share in (0.0, 1.0):
         constant = 0.5 if share is None else float(share)
@@ -137,22 +149,25 @@ def train(x: DataFrame, labels: DataFrame, features: int = 256, width: float = 0
     d = len(STATISTICS)
     moments = known.agg(*[f(F.col("x")[i]).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(d)]).head()
     kernel = Kernel(np.array(moments[:d], float), np.array(moments[d:], float), features, width, seed)
-    sums = known.mapInArrow(_sums(kernel), "s binary")
-    while (sums := cut(sums)).count() > FAN_IN:
-        slot = F.pmod(F.monotonically_increasing_id(), F.lit(max(1, sums.count() // FAN_IN)))
-        sums = sums.groupBy(slot.alias("slot")).applyInArrow(_add, "s binary")
+    sums = added(known.mapInArrow(_sums(kernel), "s binary").select(F.spark_partition_id().alias("slot"), "s"))
     size = features + 1
-    total = sum(np.frombuffer(r.s) for r in sums.collect()).reshape(size, size + 1)  # FAN_IN matrices at most
-    n = total[-1, -2]
-    weights = np.linalg.solve(total[:, :size] + ridge * n / size * np.eye(size), total[:, size])
+    halves = sum(np.frombuffer(r.s) for r in sums.collect()).reshape(2, size, size + 1)  # FAN_IN sums at most
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        n = max(total[-1, -2], 1)
+        return np.linalg.solve(total[:, :size] + ridge * n / size * np.eye(size), total[:, size])
 
-    def raw(m: np.ndarray) -> np.ndarray:
-        return np.clip(kernel(m) @ weights, -0.5, 1.5)
+    weights, other = solved(halves.sum(0)), np.array([solved(halves[1]), solved(halves[0])])
+
+    def raw(m: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        return np.clip(kernel(m) @ weights if by is None else (kernel(m) * by).sum(1), -0.5, 1.5)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = np.minimum(((raw(_matrix(b.column(0))) + 0.5) / 2 * BINS).astype(int), BINS - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), b.column(1)], ["bin", "y"])
+            if b.num_rows:
+                s = raw(_matrix(b.column(0)), other[b.column(2).to_numpy(zero_copy_only=False)])
+                bins = np.minimum(((s + 0.5) / 2 * BINS).astype(int), BINS - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), b.column(1)], ["bin", "y"])
 
     counts = known.mapInArrow(binned, "bin int, y int").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()  # BINS rows at most
     at = np.array([(r.bin + 0.5) / BINS * 2 - 0.5 for r in counts])

@@ -138,6 +138,26 @@ def test_phrases_match_plain_search():
         assert got == [cross_parse("".join(map(chr, langid.normalise(samples[k]))), plain) for k in ("x", "y")]
 
 
+def test_large_alphabets_keep_their_characters():
+    """Two languages of 600 letters each that share none; every letter is a symbol of its own."""
+    rng = random.Random(4)
+    blocks = {"x": [chr(0x4E00 + i) for i in range(600)], "y": [chr(0x6E00 + i) for i in range(600)]}
+    prose = lambda k, n: "".join(rng.choice(blocks[k]) for _ in range(n))
+    samples = {k: prose(k, 5000) for k in blocks}
+    m = langid.Model(samples)
+    texts = [prose(k, 20) for k in ("x", "y") for _ in range(100)]
+    assert m.predict(texts)[0] == ["x"] * 100 + ["y"] * 100
+    for t in texts[:40] + [samples["x"][100:700], "z" * 30]:
+        point = langid.normalise(t)
+        x = m.code[point]
+        got = m.phrases(x[:, None], np.array([len(x)]))[:, 0].tolist()
+        assert got == [cross_parse(samples[k], "".join(map(chr, point))) for k in ("x", "y")]
+
+
+def test_samples_are_cut_at_one_length():
+    assert langid.cut_length([5, 50, 500], 100) == 47 and langid.cut_length([5, 6], 100) == 6 and langid.cut_length([], 10) == 0
+
+
 def test_language_held_out_accuracy(docs):
     from rentgrid.llm._common import fold
 
@@ -327,10 +347,20 @@ def test_normal_equations_are_those_of_the_whole_matrix(spark):
     x = rng.normal(size=(200, len(quality.STATISTICS)))
     y = (x[:, 0] > 0).astype(int)
     kernel = quality.Kernel(x.mean(0), x.std(0), 16, 1.0, 1)
-    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int").repartition(7)
+    half = np.arange(200) % 3 // 2
+    df = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, half)], "x array<double>, y int, half int").repartition(7)
     parts = [np.frombuffer(r.s) for r in df.mapInArrow(quality._sums(kernel), "s binary").collect()]
     f = kernel(x)
-    assert np.allclose(sum(parts).reshape(17, 18), f.T @ np.hstack([f, y[:, None]]))
+    for k in range(2):
+        assert np.allclose(sum(parts).reshape(2, 17, 18)[k], f[half == k].T @ np.hstack([f, y[:, None]])[half == k])
+
+
+def test_partial_sums_are_added_in_a_tree_of_bounded_fan_in(spark, monkeypatch):
+    sums = spark.range(0, 2048, 1, 64).select(F.col("id").cast("int").alias("slot"), F.lit(np.ones(2).tobytes()).alias("s"))
+    slots = [r.n for r in sums.groupBy(F.expr("slot div 32")).agg(F.count("*").alias("n")).collect()]
+    assert max(slots) == 32 and len(slots) == 64
+    out = quality.added(sums).collect()
+    assert len(out) <= 32 and np.allclose(sum(np.frombuffer(r.s) for r in out), 2048)
 
 
 # ---- op 6
