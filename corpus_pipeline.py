@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentgrid.llm import decontaminate, mixing, quality, sharding, simhash_dedup
-from rentgrid.llm._common import cut, fold, read, shared_dir, small, stored
+from rentgrid.llm._common import PLACE, cut, fold, placed, read, shared_dir, small
 
 ORACLE_SQL = None
 
@@ -41,16 +40,10 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
-    place = F.concat_ws("/", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
-    try:
-        numbered = docs.withColumn("_rg_place", place)
-        numbered.schema
-    except AnalysisException:  # not read from files: written first, as only a table has an order
-        numbered = stored(docs).withColumn("_rg_place", place)
-    # the place stands in for the id: it is unique where the id need not be
-    plan = sharding.shard(numbered, key=F.col("_rg_place"), id_col="_rg_place").select(F.col("doc_id").alias("_rg_at"), "shard", "slot")
-    return numbered.join(plan, F.col("_rg_place") == F.col("_rg_at")).drop("_rg_place", "_rg_at")
+    """The documents with their shard and slot; a row's place stands in for its id, as it is unique where that need not be."""
+    numbered = placed(docs)
+    plan = sharding.shard(numbered, key=F.col(PLACE), id_col=PLACE).select(F.col("doc_id").alias("_rg_at"), "shard", "slot")
+    return numbered.join(plan, F.col(PLACE) == F.col("_rg_at")).drop(PLACE, "_rg_at")
 
 
 STAGES = [
