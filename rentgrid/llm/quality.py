@@ -123,7 +123,7 @@ def added(sums: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """(slot, s): at most ``fan_in`` sums, of (slot, s) with a slot for each row; no task adds more than ``fan_in``."""
     ship(sums.sparkSession)
     while (sums := cut(sums)).count() > fan_in:
-        sums = sums.groupBy(F.expr(f"slot div {fan_in}").cast("int").alias("slot")).applyInArrow(_add, "slot int, s binary")
+        sums = sums.groupBy(F.expr(f"slot div {fan_in}").cast("int").alias("to")).applyInArrow(_add, "slot int, s binary")
     return sums
 
 
