@@ -47,7 +47,7 @@ def detect_commune(city: Column, district: Column, title: Column, description: C
 
 
 def region_for(commune: Column) -> Column:
-    table = {c: r for r, cs in G.REGIONS.items() for c in cs.split("|")}
+    table = {c: r for r, cs in G.REGIONS.items() for c in cs}
     return F.coalesce(lookup(commune, table), F.lit(UNKNOWN_REGION))
 
 
@@ -91,7 +91,7 @@ def scope_class(declared: Column, *fields: Column) -> Column:
 def strict_commune(*fields: Column) -> Column:
     """A covered commune by its own names, longest first, then by postal code; never by a district."""
     blob = padded(F.replace(T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields])), F.lit("-"), F.lit(" ")))
-    names = G.longest_first([(plain.slug(a), c) for c, aliases in G.COVERED.items() for a in (c, *aliases.split("|"))])
+    names = G.longest_first([(plain.slug(a), c) for c, aliases in G.COVERED.items() for a in (c, *aliases)])
     codes = [(code, c) for code, c in G.POSTAL.items() if c in G.COVERED]
     return first_alias(blob, names + codes, within=True)["name"]
 
@@ -99,7 +99,7 @@ def strict_commune(*fields: Column) -> Column:
 def district_in(commune: Column, *fields: Column) -> Column:
     """A district of the known commune that the texts name, longest alias first; null if it's unknown."""
     blob = padded(F.replace(T.norm_slug(F.concat_ws(" ", *[T.text(f) for f in fields])), F.lit("-"), F.lit(" ")))
-    pairs = G.longest_first([(plain.slug(a), name) for name, (*_, aliases) in G.DISTRICTS.items() for a in (name, *aliases.split("|"))])
+    pairs = G.longest_first([(plain.slug(a), name) for name, (*_, aliases) in G.DISTRICTS.items() for a in (name, *aliases)])
     table = F.array(*[F.struct(F.lit(plain.fold(a)).alias("alias"), F.lit(n).alias("name"), F.lit(G.DISTRICTS[n][0]).alias("commune")) for a, n in pairs])
     return T.bind(F.struct(blob.alias("b"), commune.alias("c")), lambda x: F.get(F.filter(table, lambda p: (p["commune"] == x["c"]) & F.contains(x["b"], p["alias"])), F.lit(0))["name"])
 

@@ -14,15 +14,14 @@ from rentgrid.functions import numbers as N
 from rentgrid.functions import text as T
 from rentgrid.operators.graph import components
 from rentgrid.operators.lineage import cut
+from rentgrid.operators.windows import numbered
 
 # fixed values: words that say nothing about a listing's identity
-KEY_STOPWORDS = "appartement maison location louer pieces piece saint denis sainte marie reunion 974".split()
-TITLE_STOPWORDS = (
-    "location appartement maison villa pieces piece saint sainte denis marie reunion 974 louer annonce immobilier m2 dans avec pour une des les studio type appart centre ville"
-).split()
+KEY_STOPWORDS = ("appartement", "maison", "location", "louer", "pieces", "piece", "saint", "denis", "sainte", "marie", "reunion", "974")
+TITLE_STOPWORDS = ("location", "appartement", "maison", "villa", "pieces", "piece", "saint", "sainte", "denis", "marie", "reunion", "974", "louer", "annonce", "immobilier", "m2", "dans", "avec", "pour", "une", "des", "les", "studio", "type", "appart", "centre", "ville")
 
 
-def _without(tokens: Column, stop: list[str]) -> Column:
+def _without(tokens: Column, stop: tuple[str, ...]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop))
 
 
@@ -130,10 +129,13 @@ def _paired(df: DataFrame, block: list[str]) -> DataFrame:
     """Pairs of a block, smaller id first; blocks of one row are dropped before the join."""
     rows = df.select(*block, F.struct(*PAIR_FIELDS).alias("r"))
     busy = rows.join(rows.groupBy(*block).agg(F.count("*").alias("_n")).where("_n > 1").select(*block), block, "left_semi")
-    return busy.withColumnRenamed("r", "a").join(busy.withColumnRenamed("r", "b"), block).where("a.id < b.id").select("a", "b")
+    pairs = busy.withColumnRenamed("r", "a").join(busy.withColumnRenamed("r", "b"), block).where("a.id < b.id")
+    # only "distinct" is left for pairs whose prices or surfaces are not close, so their titles are never compared
+    close = N.rel_close(F.col("a.price"), F.col("b.price"), 0.07, 70) & N.rel_close(F.col("a.surface"), F.col("b.surface"), 0.10, 8)
+    return pairs.where(close).select("a", "b")
 
 
-def duplicate_edges(df: DataFrame, max_url: int = 50) -> DataFrame:
+def duplicate_edges(df: DataFrame) -> DataFrame:
     """Decided pairs that are not distinct, by exact address and by block.
 
     Blocks are commune, family, rounded price and surface, and rooms; rows that share an exact address
@@ -172,8 +174,9 @@ def duplicate_groups(df: DataFrame, edges: DataFrame) -> DataFrame:
     who = members.groupBy("root").agg(F.max_by("node", rank).alias("canonical_id"), F.array_sort(F.collect_set("node")).alias("member_ids"), F.array_sort(F.collect_set(F.coalesce(col("source_site", "string"), F.lit("?")))).alias("sources"))
     how = edges.join(nodes.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.bool_and(F.col("decision") == "auto_duplicate").alias("auto"), F.max("confidence").alias("confidence"))
     out = who.join(how, "root").withColumn("decision", F.when(F.col("auto"), "auto_duplicate").otherwise("needs_review"))
-    number = F.row_number().over(Window.orderBy("root"))
-    return out.withColumn("group_id", F.concat(F.lit("D"), F.lpad(number.cast("string"), 4, "0"))).select("group_id", "decision", "confidence", "canonical_id", "member_ids", "sources")
+    number = F.col("number").cast("string")
+    wide = F.concat(F.lit("D"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))  # lpad would cut longer ones
+    return numbered(out, "root").withColumn("group_id", wide).select("group_id", "decision", "confidence", "canonical_id", "member_ids", "sources")
 
 
 def annotate(df: DataFrame, groups: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentgrid.operators.lineage import cut
+
 
 def as_of(df: DataFrame, key: list[str], at: str, tie: str, is_target: Column, value: Column, forward: bool = False) -> Column:
     """The value of the nearest earlier (or later) target row of the same key; the row itself is never one.
@@ -62,6 +64,16 @@ def last_values(df: DataFrame, key: str, order: list[str], n: int, condition: Co
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias("values"))
 
 
+def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in the order of a column: in ranges of it, behind the counts of the ranges before."""
+    ranges = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    held = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each shuffle partition at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = ranges.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return ranked.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_rn")).drop("_range", "_rn", "_start")
+
+
 def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, cutoff: float, id_col: str) -> DataFrame:
     """Each row with the nearest place closer than ``cutoff`` degrees, or null.
 

@@ -197,21 +197,17 @@ QUERIES = {
 }
 
 
-def _city_regions() -> str:
-    from rentgrid.functions import gazetteer as G
-    from rentgrid.functions import plain
-
-    def commune(value: str) -> str:
-        t = plain.fold_translate(value)
-        by_code = next((c for p, c in G.POSTAL.items() if p in t), None)
-        return by_code or next((c for a, c in G.CITY_ALIASES.items() if f" {a} " in f" {t} "), None) or next((n for n in G.CITY_NAMES if plain.fold_translate(n) in t), value)
-
-    regions = {c: r for r, cs in G.REGIONS.items() for c in cs.split("|")}
-    rows = [(0, i, v) for i, v in enumerate(G.POSTAL)] + [(1, i, v) for i, v in enumerate(G.CITY_NAMES)]
-    values = ", ".join(f"({k}, {i}, '{commune(v)}', '{regions.get(commune(v), 'Région non précisée')}')" for k, i, v in rows)
-    return f"""SELECT c_custkey, commune, region FROM customer JOIN (VALUES {values}) v(k, i, commune, region)
- ON k = c_custkey % 2 AND i = c_custkey % CASE WHEN c_custkey % 2 = 0 THEN {len(G.POSTAL)} ELSE {len(G.CITY_NAMES)} END"""
-
-
-CITY_REGIONS = _city_regions()
+#: What each postal code (0) and each name (1), by its place in its list, is a commune and region of.
+CITY_REGIONS = """SELECT c_custkey, commune, region FROM customer JOIN (VALUES
+  (0, 0, 'Saint-Denis', 'Nord'), (0, 1, 'Saint-Denis', 'Nord'), (0, 2, 'Sainte-Marie', 'Nord'), (0, 3, 'Sainte-Suzanne', 'Nord'), (0, 4, 'Saint-André', 'Est'),
+  (0, 5, 'Saint-Benoît', 'Est'), (0, 6, 'Bras-Panon', 'Est'), (0, 7, 'La Plaine des Palmistes', 'Est'), (0, 8, 'Saint-Pierre', 'Sud'), (0, 9, 'Le Tampon', 'Sud'),
+  (0, 10, 'Le Tampon', 'Sud'), (0, 11, 'Saint-Louis', 'Sud'), (0, 12, 'Saint-Joseph', 'Sud'), (0, 13, 'Entre-Deux', 'Sud'), (0, 14, 'Les Avirons', 'Sud'),
+  (0, 15, 'Etang-Salé', 'Sud'), (0, 16, 'Saint-Paul', 'Ouest'), (0, 17, 'Saint-Paul', 'Ouest'), (0, 18, 'Saint-Paul', 'Ouest'), (0, 19, 'La Saline', 'Ouest'),
+  (0, 20, 'Saint-Leu', 'Ouest'), (0, 21, 'La Possession', 'Ouest'), (0, 22, 'Le Port', 'Ouest'), (1, 0, 'Saint-Denis', 'Nord'), (1, 1, 'Sainte-Marie', 'Nord'),
+  (1, 2, 'Saint-Denis', 'Nord'), (1, 3, 'Le Tampon', 'Sud'), (1, 4, 'Saint-Pierre', 'Sud'), (1, 5, 'Saint-Paul', 'Ouest'), (1, 6, 'La Possession', 'Ouest'),
+  (1, 7, 'Saint-Leu', 'Ouest'), (1, 8, 'Saint-André', 'Est'), (1, 9, 'Saint-Louis', 'Sud'), (1, 10, 'Le Port', 'Ouest'), (1, 11, 'Sainte-Suzanne', 'Nord'),
+  (1, 12, 'Saint-Benoît', 'Est'), (1, 13, 'Saint-Joseph', 'Sud'), (1, 14, 'Bras-Panon', 'Est'), (1, 15, 'Entre-Deux', 'Sud'), (1, 16, 'Les Avirons', 'Sud'),
+  (1, 17, 'Etang-Salé', 'Sud'), (1, 18, 'La Plaine des Palmistes', 'Est'), (1, 19, 'Saint-Paul', 'Ouest'), (1, 20, 'La Saline', 'Ouest'), (1, 21, 'Petite Ile', 'Sud'),
+  (1, 22, 'Cilaos', 'Sud'), (1, 23, 'Salazie', 'Est'), (1, 24, 'Trois-Bassins', 'Ouest'), (1, 25, 'Saint-Philippe', 'Sud')) v(k, i, commune, region)
+ ON k = c_custkey % 2 AND i = c_custkey % CASE WHEN c_custkey % 2 = 0 THEN 23 ELSE 26 END"""
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

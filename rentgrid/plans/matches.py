@@ -206,12 +206,11 @@ SELECT key, count(*) AS size, array_to_string(list_sort(list_distinct(list(sourc
 
 
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the smallest id among those with the same text: edges from each copy to the next smaller one,
-    then connected components."""
-    from pyspark.sql import Window
-
+    """Documents and the smallest id among those with the same text: copies folded by hash before any shuffle, edges
+    from each to the smallest, then connected components."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    edges = d.withColumn("b", F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id"))).where("b is not null").select(F.col("doc_id").alias("a"), "b")
+    lows = d.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    edges = d.join(lows, "h").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     return d.join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 

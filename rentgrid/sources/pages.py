@@ -103,17 +103,29 @@ def detail_pages(pages: DataFrame, source: str, commune: Column | None = None) -
 
 # fixed values: names by which a city is guessed from text, in the order in which they are tried
 CITY_GUESS = {
-    "Saint-Denis": "saint denis|st denis", "Sainte-Clotilde": "sainte clotilde|ste clotilde|st clotilde", "Sainte-Marie": "sainte marie|ste marie", "Saint-Pierre": "saint pierre|st pierre",
-    "Saint-Paul": "saint paul|st paul", "Saint-Louis": "saint louis|st louis", "Le Tampon": "le tampon|tampon", "Le Port": "le port", "La Possession": "la possession",
-    "Saint-Leu": "saint leu|st leu", "Saint-André": "saint andre|saint andré|st andre|st andré", "Bras-Panon": "bras panon", "Etang-Salé": "etang sale|étang salé|letang sale|l etang sale",
-    "La Saline": "la saline|saline les bains", "Moufia": "moufia", "Bellepierre": "bellepierre",
-}
+    "Saint-Denis": ("saint denis", "st denis"),
+    "Sainte-Clotilde": ("sainte clotilde", "ste clotilde", "st clotilde"),
+    "Sainte-Marie": ("sainte marie", "ste marie"),
+    "Saint-Pierre": ("saint pierre", "st pierre"),
+    "Saint-Paul": ("saint paul", "st paul"),
+    "Saint-Louis": ("saint louis", "st louis"),
+    "Le Tampon": ("le tampon", "tampon"),
+    "Le Port": ("le port",),
+    "La Possession": ("la possession",),
+    "Saint-Leu": ("saint leu", "st leu"),
+    "Saint-André": ("saint andre", "saint andré", "st andre", "st andré"),
+    "Bras-Panon": ("bras panon",),
+    "Etang-Salé": ("etang sale", "étang salé", "letang sale", "l etang sale"),
+    "La Saline": ("la saline", "saline les bains"),
+    "Moufia": ("moufia",),
+    "Bellepierre": ("bellepierre",),
+}
 
 
 def guess_city(c: Column) -> Column:
     """A city named in a text, else a postal code of the market, else null."""
     low = F.translate(F.lower(T.text(c)), "-'", "  ")
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(city).alias("city")) for city, words in CITY_GUESS.items() for w in words.split("|")])
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(city).alias("city")) for city, words in CITY_GUESS.items() for w in words])
     named = T.bind(low, lambda t: F.get(F.filter(table, lambda p: F.contains(t, p["w"])), F.lit(0))["city"])
     return F.coalesce(named, X.group(T.text(c), r"\b(974\d{2})\b"))
 

@@ -155,6 +155,36 @@ def test_query_parser_properties(spark):
     assert counts == sorted(counts) and counts[-1] == 20 and n("meublé") + n("non meublé") == 20 and n("jardin saint denis") == 20 and n("piscine") == 0
 
 
+def test_query_grammar():
+    f = query.parse("T3 st denis 60m2 entre 600 et 900 avec garage r2d2 vue mer")
+    assert (f.rooms, f.min_surface, f.min_price, f.max_price, f.locations, f.amenities) == ([3], 60, 600, 900, ["Saint-Denis"], ["Parking"])
+    assert f.tokens == ["r2d2", "vue", "mer"]
+    f = query.parse("villa 4 pieces >= 700 location nue", {})
+    assert (f.kind, f.rooms, f.price_op, f.min_price, f.furnished) == ("maison", [4], "min", 700, False)
+    assert query.parse("", {}) == query.parse(None, {}) == query.FilterSpec() and query.parse("95000 12 m²", {}).price is None
+
+
+def test_groups_beyond_ten_thousand_keep_their_numbers(spark):
+    df = spark.range(1, 10_003).select(F.col("id").cast("string").alias("root"))
+    out = windows.numbered(df, "root")
+    got = [(r.root, r.number) for r in out.orderBy("number").collect()]
+    assert got == [(x, i + 1) for i, x in enumerate(sorted(str(i) for i in range(1, 10_003)))]
+    edges = spark.range(0, 20_002, 2).select(F.format_string("%06d", F.col("id")).alias("a"), F.format_string("%06d", F.col("id") + 1).alias("b"), F.lit("auto_duplicate").alias("decision"), F.lit(0.9).alias("confidence"))
+    groups = entity.duplicate_groups(spark.createDataFrame([], "id string, source_site string"), edges)
+    ids = sorted((r.member_ids[0], r.group_id) for r in groups.collect())
+    assert ids[0][1] == "D0001" and ids[9999][1] == "D10000" and ids[10_000][1] == "D10001" and len({i for _, i in ids}) == 10_001
+
+
+def test_json_ld_rules():
+    page = """<script type="application/ld+json">{"@type":"RealEstateAgent","address":{"streetAddress":"agency"},"image":"logo.png",
+     "makesOffer":{"@type":"Apartment","numberOfRooms":3,"address":{"@type":"PostalAddress","streetAddress":"1 rue A","postalCode":97400},
+     "geo":[{"latitude":"x","longitude":1},{"latitude":"-20.9","longitude":55.4}],"image":[{"url":"a.jpg"},"b.jpg","a.jpg"]}}</script>
+     <script type='application/ld+json'>not json</script>"""
+    f = X.property_facts(page)
+    assert (f["street"], f["postal_code"], f["lat"], f["lon"], f["bedrooms"], f["images"]) == ("1 rue A", "97400", -20.9, 55.4, 3, ["a.jpg", "b.jpg"])
+    assert X.property_facts(None)["images"] == [] and X.property_facts(None)["lat"] is None
+
+
 # ---- writes, history
 
 
@@ -233,7 +263,7 @@ def test_saved_search_zone_is_vetoed_by_a_conflicting_place(spark):
     p = matching.search_predicate(df, {"zones": ["Beauséjour"], "rentMax": 900}, {}, {"Beauséjour": ["saint paul"]})
     assert [r.id for r in df.where(p).orderBy("id").collect()] == ["1", "4"]
     assert matching.validate({"searches": [{"id": "Bad Id"}, {"id": "ok"}, {"id": "ok", "filters": {"rentMax": "x"}}], "max_items_per_search": 99}) == [
-        "search[0].id invalid: 'Bad Id' (use lowercase slug, 2-64 chars)", "duplicate search id: ok", "search[ok].filters.rentMax must be numeric", "max_items_per_search must be between 1 and 20",
+        "max_items_per_search must be a number from 1 to 20", "searches[0].id must be a lower-case slug of 2 to 64 characters", "searches[2].filters.rentMax must be numeric", "searches: the id 'ok' is used 2 times",
     ]
 
 
