@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrid.plans import changes, counts, health, matches, products, texts
+from rentgrid.plans import changes, counts, fields, health, matches, products, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (health, counts, changes, matches, texts, products):
+for _module in (health, counts, changes, matches, texts, products, fields):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
