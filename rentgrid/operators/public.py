@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions import numbers as N
 from rentgrid.functions import text as T
+from rentgrid.operators.entity import title_ratio
 
 # fixed values: labels that stand for no district, as slugs
 NO_DISTRICT = ("zone-non-precisee", "non-precisee", "non-precise", "region-non-precisee", "non-renseigne", "autre", "inconnu", "na", "")
@@ -244,3 +245,32 @@ def notable_changes(changes: DataFrame, drops: int = 8, returns: int = 4) -> Dat
     best = down.orderBy(F.desc(F.abs("delta")), "id").limit(drops).withColumn("kind", F.lit("price_down"))
     back = rows.where("event_type = 'reappeared'").orderBy("id").limit(returns).withColumn("kind", F.lit("reappeared"))
     return best.unionByName(back)
+
+
+def best_candidates(listings: DataFrame, candidates: DataFrame, key: str, wanted: str) -> DataFrame:
+    """(key, candidate, exact, score): for every listing the best of the candidates found for it under its ``key``.
+
+    Both have title, price and surface; ``wanted`` is the listing's id at the interface, ``id`` the candidate's.  The
+    same id gives 3 points, a likeness of titles up to 1, a price within 5 and a surface within 1 a half each.  Without
+    the same id 1.75 points are asked for, which takes both halves: so titles are compared only where both are met."""
+    c = candidates.select(key, F.col("id").cast("string").alias("candidate"), F.col("title").alias("_t"), F.col("price").alias("_p"), F.col("surface").alias("_s"))
+    near = lambda a, b, room: F.coalesce(F.abs(F.col(a).cast("double") - F.col(b).cast("double")) <= room, F.lit(False))
+    met = listings.select(key, F.col(wanted).cast("string").alias("_w"), "title", "price", "surface").join(c, key)
+    met = met.withColumns({"exact": F.coalesce(F.col("candidate") == F.col("_w"), F.lit(False)), "_near": near("price", "_p", 5.0).cast("int") + near("surface", "_s", 1.0).cast("int")})
+    met = met.where(F.col("exact") | (F.col("_near") == 2))
+    score = F.when(F.col("exact"), 3.0).otherwise(0.0) + F.col("_near") * 0.5 + title_ratio(F.lower(T.text(F.col("title"))), F.lower(T.clean(F.col("_t"))))
+    good = met.withColumn("score", score).where(F.col("exact") | (F.col("score") >= 1.75))
+    best = good.groupBy(key).agg(F.max_by(F.struct("candidate", "exact", "score"), F.struct("score", F.col("candidate"))).alias("b"))
+    return best.select(key, "b.candidate", "b.exact", F.round("b.score", 3).alias("score"))
+
+
+def local_media(df: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
+    """``df`` (one row a key) with local images that are no stored files (``path``) taken away.
+
+    A main image that is gone gives way to the first of the gallery, and a main image is part of the gallery."""
+    said = df.select(key, F.posexplode(F.concat(F.array(F.coalesce("local_image_url", F.lit(""))), F.coalesce("local_image_urls", F.array().cast("array<string>")))).alias("at", "path"))
+    there = said.join(files.select("path").distinct(), "path", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("_found"))
+    d = df.join(there, key, "left").withColumn("_found", F.coalesce("_found", F.array().cast(there.schema["_found"].dataType)))
+    d = d.withColumn("_gallery", F.transform(F.filter("_found", lambda x: x["at"] > 0), lambda x: x["path"])).withColumn("_main", F.coalesce(F.get("_found", F.lit(0))["path"], F.lit("")))
+    whole = F.when((F.col("_main") != "") & ~F.array_contains("_gallery", F.col("_main")), F.concat(F.array("_main"), F.col("_gallery"))).otherwise(F.col("_gallery"))
+    return d.withColumns({"local_image_url": F.col("_main"), "local_image_urls": whole}).drop("_found", "_gallery", "_main")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentgrid.functions import extract as X
 from rentgrid.functions import geo, numbers
 from rentgrid.functions import text as T
-from rentgrid.operators import writes
+from rentgrid.operators import public, writes
 from rentgrid.plans.stand_in import LISTING_SQL, listings
 from rentgrid.sources import documents
 
@@ -205,11 +205,32 @@ def published_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PUBLISHED_AGES = f"""{_NUMBERED}, a AS (SELECT *, CASE n % 5 WHEN 0 THEN n % 40 WHEN 1 THEN n % 9 * 24 WHEN 2 THEN n % 3 * 168 WHEN 3 THEN (29 - n % 28) * 24 END::DOUBLE AS hours FROM l)
 SELECT id, hours, coalesce(hours <= 72, false) AS recent, CASE WHEN hours < 24 THEN 'aujourd''hui' WHEN hours < 48 THEN 'hier' WHEN hours < 168 THEN 'il y a ' || hours::INT // 24 || ' j' WHEN hours IS NOT NULL THEN 'il y a ' || hours::INT // 168 || ' sem.' END AS phrase FROM a"""
 
+def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates for every listing: one that may be it, and one that is not."""
+    d = numbered(spark, sf_dir).selectExpr("id as key", "id as wanted", "n", "title", "rent_eur as price", "surface_m2 as surface")
+    other = d.selectExpr("key", "concat('x', key) as id", "if(n % 4 = 3, '####', upper(title)) as title", "price + if(n % 4 = 2, 50, 3) as price", "surface + 1 as surface")
+    own = d.selectExpr("key", "if(n % 4 = 0, key, concat('y', key)) as id", "'####' as title", "price - 400 as price", "surface + 40 as surface")
+    return public.best_candidates(d, other.unionByName(own), "key", "wanted").select("key", "candidate", "exact", F.floor("score").alias("points"))
+
+
+BEST_MATCHES = f"""{_NUMBERED} SELECT id AS key, CASE WHEN n % 4 = 1 THEN 'x' ELSE '' END || id AS candidate, n % 4 = 0 AS exact, CASE WHEN n % 4 = 0 THEN 3 ELSE 2 END::BIGINT AS points FROM l WHERE n % 4 < 2"""
+
+
+def stored_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = numbered(spark, sf_dir).withColumns({"local_image_url": F.expr("CASE n % 3 WHEN 0 THEN 'gone' WHEN 1 THEN concat('m', id) END"), "local_image_urls": F.when(F.col("n") % 4 > 0, F.array(F.lit("gone"), F.concat(F.lit("g"), F.col("id")), F.concat(F.lit("h"), F.col("id"))))})
+    files = d.select(F.explode(F.array(F.concat(F.lit("m"), F.col("id")), F.concat(F.lit("h"), F.col("id")), F.when(F.col("n") % 2 == 0, F.concat(F.lit("g"), F.col("id"))))).alias("path"))
+    kept = public.local_media(d, files)
+    return kept.select("id", "local_image_url", F.array_join("local_image_urls", ",").alias("gallery"))
+
+
+STORED_MEDIA = f"""{_NUMBERED}, g AS (SELECT id, CASE WHEN n % 3 = 1 THEN 'm' || id END AS main, CASE WHEN n % 4 = 0 THEN '' WHEN n % 2 = 0 THEN 'g' || id || ',h' || id ELSE 'h' || id END AS rest FROM l)
+SELECT id, coalesce(main, split_part(rest, ',', 1)) AS local_image_url, concat_ws(',', main, nullif(rest, '')) AS gallery FROM g"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         read_amounts, ad_amounts, ad_details, ad_comfort, place_precision, place_scope, photo_addresses, search_addresses, own_ids, contract_rows, light_rows, purged_rows,
-        promotion_guards, shown_descriptions, published_ages,
+        promotion_guards, shown_descriptions, published_ages, best_matches, stored_media,
     )
 }
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
