@@ -1,25 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-A source's rows are dealt into blocks of ``block_rows``.  With a target weight w, block i (from 0)
-is released at slot floor(i / w) and due by slot ceil((i + 1) / w); in every slot the released
-block with the earliest deadline goes (ties: the smaller source name).  As the weights add up to 1,
-every block goes within its window, so at any time the number of blocks a source has had differs
-from its share by less than one.
-
-Weights are taken as integer shares (plain largest remainders) of a period of slots, the shortest one
-from ``resolution`` on over whose repetitions no source drifts from its weight by a block in as many
-slots as the table has blocks; a period as long as that always does.  So weights like 0.7, 0.2 and 0.1
-are followed exactly, to less than one block, and any others to less than two, one of them by rounding.
-The period is worked out when the plan is built: block i of a source with share a falls in
-period i div a, at the place the period gives to i mod a.  A source whose share is rounded to nothing
-is due less than one block in all these slots: its blocks go when they are due, in slots others may have too.
+A source's rows are dealt into blocks.  With a target weight w, block i (from 0) is released at slot
+floor(i / w) and due by slot ceil((i + 1) / w); in every slot the released block with the earliest
+deadline goes (ties: the smaller source name).  As the weights add up to 1, every block goes within its
+window, so at any time the number of blocks a source has had differs from its share by less than one,
+whatever the weights: they are exact fractions, and so are releases and deadlines.
+
+The schedule covers the whole table.  It is worked out when the plan is built and has at most
+``MOST_BLOCKS`` blocks and one more a source: a block holds ``block_rows`` rows, or a ``MOST_BLOCKS``-th of the
+table where that is more.  The driver so holds and broadcasts a bounded table, however many rows there are,
+with the slot of every block and the position of its first row.
 
 Ranks within a source are taken in hashed buckets of about ``bucket_rows`` rows with prefix sums over
-the buckets' counts, so a source with a third of all rows is split, and positions are ranked stretch
-by stretch of ``STRETCH`` slots.
+the buckets' counts, so a source with a third of all rows is split.  Rows are hashed with their places in
+the table's files, so rows of one repeated or null id are split too.
 
-Every row is kept.  Slots of a source that has run out stay empty and the others follow in the same
-order, so the targets hold until the first source runs out.
+Every row is kept.  Slots that no source with rows left is released in stay empty, so the targets hold
+until the first source runs out, and for the others after it.
 
 Defined results: a null source is a source of its own, named in ``targets`` by the empty string
 like an empty one; sources without a target share what the targets leave of 1, or the smallest given
@@ -31,109 +28,83 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentgrid.llm._common import PLACE, cut, placed, stored
+from rentgrid.llm._common import PLACE, placed
 
-#: Least slots of a period, rows of a block, rows of a bucket.
-RESOLUTION, BLOCK_ROWS, BUCKET_ROWS = 1000, 8, 20_000
-#: Slots whose rows are ranked together; rows up to which the period's table is broadcast; weights tried in search of a period.
-STRETCH, PLAN_ROWS, TRIED = 1000, 1_000_000, 50_000_000
+#: Least rows of a block, rows of a bucket, blocks of a schedule (and one more a source).
+BLOCK_ROWS, BUCKET_ROWS, MOST_BLOCKS = 8, 20_000, 250_000
 
 
-def weights(rows: dict[str, int], targets: dict[str, float] | None) -> dict[str, float]:
-    """The weight of each source with rows; they add up to 1."""
-    given = {s: float(w) for s, w in (targets or {}).items() if s in rows and w > 0}
-    rest = {s: math.sqrt(n) for s, n in rows.items() if s not in given}
-    left = max(1 - sum(given.values()), min(given.values(), default=1.0)) if rest else 0
-    wanted = given | {s: left * x / sum(rest.values()) for s, x in rest.items()}
-    total = math.fsum(wanted.values())
+def weights(rows: dict[str, int], targets: dict[str, float] | None) -> dict[str, Fraction]:
+    """The weight of each source with rows, as the fraction its decimals state; they add up to 1."""
+    given = {s: Fraction(repr(w)) for s, w in (targets or {}).items() if s in rows and w > 0}
+    roots = {s: Fraction(math.isqrt(n << 128)) for s, n in rows.items() if s not in given}  # to 64 binary places
+    left = max(1 - sum(given.values()), min(given.values(), default=Fraction(1))) if roots else 0
+    wanted = given | {s: left * x / sum(roots.values()) for s, x in roots.items()}
+    total = sum(wanted.values())
     return {s: w / total for s, w in wanted.items()}
 
 
-def shares(rows: dict[str, int], targets: dict[str, float] | None, resolution: int) -> dict[str, int]:
-    """Integer shares of ``resolution`` by source, by largest remainders."""
-    exact = {s: w * resolution for s, w in weights(rows, targets).items()}
-    out = {s: math.floor(x + 1e-9) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: resolution - sum(out.values())]:
-        out[s] += 1
-    return out
+def rows_of_a_block(rows: dict[str, int], least: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> int:
+    return max(least, -(-sum(rows.values()) // most_blocks))
 
 
-def slots(wanted: dict[str, float], n_blocks: int, least: int) -> int:
-    """The shortest period, from ``least`` on, whose rounding makes no source drift by a block in ``n_blocks`` slots."""
-    w, most = np.array(list(wanted.values())), max(n_blocks, least)
-    step = max(1, 1_000_000 // len(w))
-    for low in range(least, min(most, least + TRIED // len(w)), step):
-        q = np.arange(low, min(low + step, most))
-        exact = q[:, None] * w
-        near = np.rint(exact)
-        fits = (near.sum(1) == q) & (np.abs(near - exact).max(1) * n_blocks < q)
-        if fits.any():
-            return int(q[fits.argmax()])
-    return most
-
-
-def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, i, slot) of one period: earliest deadline first among the released blocks."""
-    q = sum(parts.values())
-    waiting = sorted((i * q // a, -(-(i + 1) * q // a), s, i) for s, a in parts.items() for i in range(a))
+def schedule(blocks: dict[str, int], wanted: dict[str, Fraction]) -> list[tuple[str, int, int]]:
+    """(source, i, slot) of every block in the order of slots: earliest deadline first among the released blocks."""
+    share = {s: w.as_integer_ratio() for s, w in wanted.items()}
+    waiting = [(0, s, 0) for s, n in blocks.items() if n]  # a source's next block, by its release
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out, at = [], 0
-    for slot in range(q):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            heapq.heappush(ready, waiting[at][1:])
-            at += 1
+    out, slot = [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            a, q = share[s]
+            heapq.heappush(ready, (-(-(i + 1) * q // a), s, i))
         _, s, i = heapq.heappop(ready)
         out.append((s, i, slot))
+        if i + 1 < blocks[s]:
+            a, q = share[s]
+            heapq.heappush(waiting, ((i + 1) * q // a, s, i + 1))
+        slot += 1
     return out
 
 
 def mix(
     docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", order_col: str | None = None,
-    resolution: int = RESOLUTION, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS,
+    block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, most_blocks: int = MOST_BLOCKS,
 ) -> DataFrame:
     """(doc_id, source, block, slot, position) of every row; position numbers all rows from 0 without gaps.
 
-    A source's rows are taken in the order of a hash of ``order_col``, which is the id if not given."""
+    A source's rows are taken in the order of a hash of ``order_col``, which is the id if not given, and their places."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(order_col or id_col).alias("order"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).alias("source"))
-    counts = {r.src: r.n for r in rows.groupBy("src").agg(F.count("*").alias("n")).collect()}
-    wanted = weights(counts, targets) if counts else {}
-    length = slots(wanted, sum(-(-n // block_rows) for n in counts.values()), resolution) if counts else resolution
-    parts = shares(counts, targets, length) if counts else {}
-    plan = period(parts) if parts else []
-    columns = [[x[k] for x in plan] for k in range(3)]
-    table = spark.createDataFrame(pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["src", "i", "at"]))
-    table = F.broadcast(table) if len(plan) <= PLAN_ROWS else table
-    names = list(counts)
-    split = spark.createDataFrame(pa.table(
-        [pa.array(names, pa.string()), pa.array([parts[s] for s in names], pa.int64()), pa.array([wanted[s] for s in names], pa.float64()), pa.array([-(-counts[s] // bucket_rows) for s in names], pa.int64())],
-        ["src", "share", "weight", "buckets"],
-    ))
+    docs = docs if PLACE in docs.columns else placed(docs)
+    src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(order_col or id_col, PLACE).alias("order"), F.col(PLACE).alias("tie"), src.alias("src"), F.col(source_col).alias("source"))
+    counts = {r.src: r.n for r in rows.groupBy("src").agg(F.count("*").alias("n")).collect()}  # a row for each source
+    size = rows_of_a_block(counts, block_rows, most_blocks)
+    plan = schedule({s: -(-n // size) for s, n in counts.items()}, weights(counts, targets)) if counts else []
+    starts, at = [], 0
+    for s, i, _ in plan:
+        starts.append(at)
+        at += min(size, counts[s] - i * size)
+    columns = [pa.array([x[0] for x in plan], pa.string()), *[pa.array(v, pa.int64()) for v in ([x[1] for x in plan], [x[2] for x in plan], starts)]]
+    table = F.broadcast(spark.createDataFrame(pa.table(columns, ["src", "block", "slot", "start"])))  # most_blocks rows and one more a source, at most
+    split = spark.createDataFrame(pa.table([pa.array(list(counts), pa.string()), pa.array([-(-n // bucket_rows) for n in counts.values()], pa.int64())], ["src", "buckets"]))
     dealt = rows.join(F.broadcast(split), "src").withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(7)), "buckets"))
     sizes = dealt.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("order", "doc_id"))).join(offsets, ["src", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("offset") + F.col("rn") - 1).withColumn("block", F.expr(f"rank div {block_rows}"))
-    ranked = ranked.withColumns({"period": F.expr("if(share > 0, block div share, null)"), "i": F.expr("if(share > 0, block % share, null)")})
-    due = F.ceil((F.col("block") + 1) / F.col("weight")) - 1
-    slot = F.when(F.col("share") > 0, F.col("period") * length + F.col("at")).otherwise(due)
-    placed = ranked.join(table, ["src", "i"], "left").select("doc_id", "source", "src", "block", "rank", slot.alias("slot"))
-    placed = stored(placed.withColumn("stretch", F.expr(f"slot div {STRETCH}")))
-    filled = cut(placed.groupBy("stretch").agg(F.count("*").alias("n")))  # one row for each STRETCH * block_rows rows
-    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select("stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("stretch").orderBy("slot", "src", "rank")
-    return (
-        placed.withColumn("rn", F.row_number().over(within)).join(starts, "stretch")
-        .select("doc_id", "source", "block", "slot", (F.col("start") + F.col("rn") - 1).alias("position"))
-    )
+    offsets = sizes.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each ``bucket_rows`` rows
+    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("order", "tie"))).join(offsets, ["src", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("offset") + F.col("rn") - 1).withColumn("block", F.expr(f"rank div {size}"))
+    return ranked.join(table, ["src", "block"]).select("doc_id", "source", "block", "slot", (F.col("start") + F.expr(f"rank % {size}")).alias("position"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", **more) -> DataFrame:
