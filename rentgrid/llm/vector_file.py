@@ -9,8 +9,9 @@ lower bound on the last wanted score.  Then exact vectors are read in order of t
 best-bounded first, and of the rest only those whose bound still reaches the last wanted exact score.
 
 Defined results: vectors that are null or empty, or hold null or non-finite components, and rows with a null
-id take no part; an id that is repeated keeps its smallest vector; vectors are compared only with
-those of equal length; fewer than k candidates give fewer rows; ties go to the smaller id.
+id take no part; an id that is repeated is a candidate with each of its vectors (rows that repeat both
+are one) and, if asked for, gets the best scores of all of them, never its own id; vectors are compared only
+with those of equal length; fewer than k candidates give fewer rows; ties go to the smaller id.
 Scores must fit a signed long; block bounds are exact while scores stay below 2^53.
 """
 
@@ -34,7 +35,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int =
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0)).where(~bad)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("vec"))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.distinct()
 
 
 def _codes(low: np.ndarray, width: np.ndarray, cells: int, x: np.ndarray) -> np.ndarray:
@@ -99,8 +100,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     best = Window.partitionBy("vec").orderBy("id")
     rows = stored(integer_vectors(vectors, id_col, vec_col, scale))
     ranked = rows.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1)
-    classes = stored(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "vec", "ids"))
+    classes = stored(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("cid"), "vec", "ids"))
     asked = rows.where(is_query)
+    # an id that is asked for names at most this many candidates that are no answers to it: 1 where ids are unique
+    own = asked.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 1
     members = cut(asked.join(classes.select("cid", "vec"), "vec").select(F.col("cid").alias("qid"), F.col("id").alias("query_id")))
     asking = cut(members.select(F.col("qid").alias("cid")).distinct().join(classes.select("cid", "vec"), "cid").select(F.col("cid").alias("qid"), "vec"))
 
@@ -122,11 +125,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     blocks = asking.withColumn("d", F.size("vec")).withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int"))
     blocks = blocks.withColumn("fb", F.explode(F.sequence(F.lit(0), F.lit(file_blocks - 1))))
     key = ["d", "qb", "fb"]
-    bounded = stored(blocks.groupBy(*key).cogroup(file.groupBy(*key)).applyInArrow(_scan(ranges, cells, k + 1), "qid long, cid long, lb double, ub double"))
+    bounded = stored(blocks.groupBy(*key).cogroup(file.groupBy(*key)).applyInArrow(_scan(ranges, cells, k + own), "qid long, cid long, lb double, ub double"))
 
     by_lb = Window.partitionBy("qid").orderBy(F.desc("lb"))
-    last = bounded.withColumn("rn", F.row_number().over(by_lb)).where(F.col("rn") <= k + 1).groupBy("qid").agg(F.min("lb").alias("last"), F.count("*").alias("n"))
-    hopeful = bounded.join(last, "qid").where((F.col("n") <= k) | (F.col("ub") >= F.col("last"))).select("qid", "cid", "ub")
+    last = bounded.withColumn("rn", F.row_number().over(by_lb)).where(F.col("rn") <= k + own).groupBy("qid").agg(F.min("lb").alias("last"), F.count("*").alias("n"))
+    hopeful = bounded.join(last, "qid").where((F.col("n") < k + own) | (F.col("ub") >= F.col("last"))).select("qid", "cid", "ub")
     by_ub = Window.partitionBy("qid").orderBy(F.desc("ub"), "cid")
     ordered = cut(hopeful.withColumn("place", F.row_number().over(by_ub)))
 
@@ -134,13 +137,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         read = pairs.join(classes, "cid").join(asking.withColumnRenamed("vec", "qvec"), "qid")
         return read.select("qid", "ids", _product(F.col("qvec"), F.col("vec")).alias("score"))
 
-    first = cut(exact(ordered.where(F.col("place") <= k + 1)))
+    first = cut(exact(ordered.where(F.col("place") <= k + own)))
     certain = first.groupBy("qid").agg(F.min("score").alias("least"))
-    more = ordered.where(F.col("place") > k + 1).join(certain, "qid").where(F.col("ub") >= F.col("least"))
+    more = ordered.where(F.col("place") > k + own).join(certain, "qid").where(F.col("ub") >= F.col("least"))
     scored = first.unionByName(exact(more.select("qid", "cid")))
 
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    answers = scored.select("qid", "score", F.explode("ids").alias("vec_id")).withColumn("rn", F.row_number().over(by_score)).where(F.col("rn") <= k + 1).drop("rn")
+    answers = scored.select("qid", "score", F.explode("ids").alias("vec_id")).withColumn("rn", F.row_number().over(by_score)).where(F.col("rn") <= k + own).drop("rn")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     named = members.join(small(answers), "qid").where("vec_id != query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return named.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
