@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentgrid.llm import decontaminate, langid, line_dedup, mixing, pii, quality, sharding, simhash_dedup, token_counts, vector_file
+from rentgrid.llm._common import PLACE, placed
 from rentgrid.llm._graph import components
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
@@ -103,6 +106,20 @@ def test_top_k_leaves_bad_vectors_out(spark):
     assert rows(vector_file.top_k(df.where("false"), F.col("id") % 10 == 0)) == []
 
 
+def test_top_k_keeps_every_vector_of_a_repeated_id(spark):
+    rng = np.random.default_rng(2)
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (1, [9.0, 0.0])], "vec_id long, embedding array<float>")
+    assert rows(vector_file.top_k(two, F.col("id") == 0, k=5)) == [(0, 1, 1, 256 * 256 * 9), (0, 2, 1, 256 * 256 * 5)]
+    data = [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 40, 400), rng.normal(0, 0.2, (400, 4)).astype(np.float32))]
+    got = rows(vector_file.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("id") % 5 == 0, k=5, cells=8), "query_id", "rank", "vec_id", "score")
+    ints = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in data]
+    want = []
+    for q in range(0, 40, 5):
+        best = sorted((-sum(a * b for a, b in zip(u, v)), j) for i, u in ints if i == q for j, v in ints if j != q)[:5]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(got) == want
+
+
 # ---- op 2
 
 
@@ -433,19 +450,55 @@ def test_winnowing_leaves_a_mark_in_every_shared_window():
 # ---- op 7
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.97, "b": 0.02, "c": 0.01}, {"a": 1, "b": 1, "c": 1}])
-def test_schedule_deviates_by_less_than_a_block(weights):
-    parts = mixing.shares({s: 100 for s in weights}, weights, 1000)
-    assert sum(parts.values()) == 1000
-    plan = mixing.period(parts)
-    assert sorted(t for _, _, t in plan) == list(range(1000))
-    had = dict.fromkeys(parts, 0)
-    for s, i, t in sorted(plan, key=lambda x: x[2]):
-        a = parts[s]
-        assert had[s] == i and i * 1000 // a <= t < -(-(i + 1) * 1000 // a)
-        had[s] += 1
-        for k in parts:
-            assert abs(had[k] - (t + 1) * parts[k] / 1000) < 1
+def brute_schedule(blocks, weights):
+    """Slot by slot: of the released blocks the one with the earliest deadline."""
+    had, out, slot = dict.fromkeys(blocks, 0), [], 0
+    while any(had[s] < n for s, n in blocks.items()):
+        free = [(math.ceil((had[s] + 1) / weights[s]), s) for s, n in blocks.items() if had[s] < n and math.floor(had[s] / weights[s]) <= slot]
+        if free:
+            s = min(free)[1]
+            out.append((s, had[s], slot))
+            had[s] += 1
+        slot += 1
+    return out
+
+
+def random_sources(rng):
+    return {f"s{k}": rng.randrange(1, 400) ** 2 for k in range(rng.randrange(3, 13))}
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.97, "b": 0.02, "c": 0.01}, {"a": 1, "b": 1, "c": 1}, {"a": 2**0.5, "b": 1, "c": 0.01}, None])
+def test_schedule_is_the_brute_forces_and_deviates_by_less_than_a_block(targets):
+    rng = random.Random(8)
+    for _ in range(1 if targets else 40):
+        rows_of = {s: 900 for s in targets} if targets else random_sources(rng)
+        w = mixing.weights(rows_of, targets)
+        assert sum(w.values()) == 1
+        blocks = {s: -(-n // 8) for s, n in rows_of.items()}
+        if sum(blocks.values()) < 4000:
+            assert mixing.schedule(blocks, w) == brute_schedule(blocks, w)
+        had = dict.fromkeys(w, 0)
+        for s, i, t in mixing.schedule(blocks, w):
+            assert had[s] == i and math.floor(i / w[s]) <= t < math.ceil((i + 1) / w[s])
+            had[s] += 1
+            if any(had[k] == blocks[k] for k in w):
+                break
+            assert sum(had.values()) == t + 1 and all(abs(had[k] - (t + 1) * w[k]) < 1 for k in w)
+
+
+def test_weights_are_the_given_decimals_and_square_roots():
+    assert mixing.weights({"a": 5, "b": 5, "c": 5}, {"a": 0.7, "b": 0.2, "c": 0.1}) == {"a": Fraction(7, 10), "b": Fraction(1, 5), "c": Fraction(1, 10)}
+    w = mixing.weights({"a": 100, "b": 400, "c": 2}, {"a": 0.25, "gone": 9})
+    assert w["a"] == Fraction(1, 4) and abs(w["b"] / w["c"] - 200**0.5) < 1e-12 and sum(w.values()) == 1
+
+
+@pytest.mark.parametrize("n_sources,n_rows", [(6, 10_000_000_000), (1000, 333_000_000_000)])
+def test_the_drivers_schedule_is_bounded(n_sources, n_rows):
+    rows_of = {f"s{k}": n_rows // n_sources + k for k in range(n_sources)}
+    size = mixing.rows_of_a_block(rows_of)
+    blocks = {s: -(-n // size) for s, n in rows_of.items()}
+    assert sum(blocks.values()) <= mixing.MOST_BLOCKS + n_sources
+    assert mixing.rows_of_a_block({"a": 1_999_999}) == 8
 
 
 def test_mix_keeps_every_row_at_its_share(spark, awkward, nothing):
@@ -460,28 +513,33 @@ def test_mix_keeps_every_row_at_its_share(spark, awkward, nothing):
     assert sorted(x[0] for x in rows(mixing.mix(awkward), "position")) == list(range(len(AWKWARD)))
     assert rows(mixing.mix(nothing)) == []
     out = mixing.mixed(df, {"hot": 0.25, "s0": 0.25}, bucket_rows=100)
-    assert [x[0] for x in rows(out, "doc_id")] == [x[3] for x in r] and out.columns == df.columns
+    assert sorted(x[0] for x in rows(out, "doc_id")) == list(range(3000)) and out.columns == df.columns
     assert sorted(map(str, rows(mixing.mixed(awkward, None)))) == sorted(map(str, rows(awkward)))
 
 
-@pytest.mark.parametrize("targets,limit", [({"a": 0.7, "b": 0.2, "c": 0.1}, 1), ({"a": 2**0.5, "b": 1, "c": 0.01}, 2)])
-def test_mix_follows_the_given_weights_over_several_periods(spark, targets, limit):
-    total = sum(targets.values())
-    sizes = {s: int(w / total * 40_000) for s, w in targets.items()}
+@pytest.mark.parametrize("targets", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 2**0.5, "b": 1, "c": 0.01}, None])
+def test_mix_goes_by_the_schedule(spark, targets):
+    sizes = {"a": 3001, "b": 900, "c": 17}
     df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
-    got = rows(mixing.mix(df, targets, resolution=100).groupBy("slot", "source").count(), "slot", "source")
-    had, last = dict.fromkeys(targets, 0), int(0.99 * sum(sizes.values()) / 8)
-    for t, s in sorted(got)[:last]:
-        had[s] += 1
-        assert sum(had.values()) == t + 1
-        assert all(abs(had[k] - (t + 1) * w / total) < limit for k, w in targets.items())
+    got = sorted(rows(mixing.mix(df, targets, most_blocks=300), "position", "slot", "source", "block"))
+    size = mixing.rows_of_a_block(sizes, most_blocks=300)
+    plan = brute_schedule({s: -(-n // size) for s, n in sizes.items()}, mixing.weights(sizes, targets))
+    assert size == 14 and list(dict.fromkeys(x[1:] for x in got)) == [(t, s, i) for s, i, t in plan]
+    assert [x[0] for x in got] == list(range(sum(sizes.values())))
+
+
+def test_mix_splits_rows_of_one_or_no_id(spark):
+    df = spark.createDataFrame([(None if i % 2 else 5, "a") for i in range(4000)], "doc_id long, source string")
+    got = mixing.mix(df, bucket_rows=100)
+    assert sorted(x[0] for x in rows(got, "position")) == list(range(4000))
+    spread = placed(df).select(F.pmod(F.xxhash64(F.xxhash64("doc_id", PLACE), F.lit(7)), F.lit(40)).alias("b")).groupBy("b").count()
+    assert spread.agg(F.max("count")).head()[0] < 200
 
 
 def test_mix_takes_any_number_of_sources(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 1500)).alias("source"))
     got = sorted(rows(mixing.mix(df, {"big": 0.5}), "position", "source"))
     assert [x[0] for x in got] == list(range(6000))
-    assert mixing.shares({"big": 1} | {f"s{i}": 1 for i in range(499)}, {"big": 0.5}, 1000)["big"] == 500
     # blocks of the small sources hold two rows, so half the slots to big's end give it four rows in five
     assert abs(sum(s == "big" for _, s in got[:1000]) - 800) <= 8
 
