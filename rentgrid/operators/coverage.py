@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.functions import numbers as N
+from rentgrid.operators import ranks
 
 
 def field_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,10 +74,12 @@ def truth_status(hide: Column, uncertain: Column, error: Column) -> Column:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, n, min, max, median) of numeric columns, in one aggregation."""
-    aggs = [f(F.col(c).cast("double")).alias(f"{c}_{k}") for c in columns for k, f in (("n", F.count), ("min", F.min), ("max", F.max), ("median", F.median))]
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), *[F.col(f"{c}_{k}").alias(k) for k in ("n", "min", "max", "median")]) for c in columns])))
+    """(field, n, min, max, median) of numeric columns."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.field", "x.v")
+    ends = values.groupBy("field").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    out = F.broadcast(names).join(ends, "field", "left").join(ranks.medians(values, ["field"], "v").select("field", "median"), "field", "left")
+    return out.select("field", F.coalesce("n", F.lit(0)).alias("n"), "min", "max", "median")
 
 
 def daily_activity(df: DataFrame, opened: str, closed: str, until: Column, days: int = 30) -> DataFrame:

@@ -125,22 +125,48 @@ def _decided(pairs: DataFrame) -> DataFrame:
     return out.select(a("id").alias("a"), b("id").alias("b"), "decision", "confidence", "reason", "score", N.half_even(F.col("title_ratio"), 3).alias("title_ratio"), N.half_even(F.col("overlap"), 3).alias("token_overlap"))
 
 
-def _paired(df: DataFrame, block: list[str]) -> DataFrame:
-    """Pairs of a block, smaller id first; blocks of one row are dropped before the join."""
-    rows = df.select(*block, F.struct(*PAIR_FIELDS).alias("r"))
-    busy = rows.join(rows.groupBy(*block).agg(F.count("*").alias("_n")).where("_n > 1").select(*block), block, "left_semi")
-    pairs = busy.withColumnRenamed("r", "a").join(busy.withColumnRenamed("r", "b"), block).where("a.id < b.id")
+BLOCK = ["commune", "family", "_p", "_s", "_r"]
+#: What a pair of a block is decided by, beside the block: rows that agree in all of it are one vector.
+FEATURES = ["price", "surface", "rooms", "source", "title_norm"]
+#: Vectors of a block that are paired in one task.
+CELL = 256
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    """Distinct feature vectors of the blocks, with their smallest and largest id."""
+    return rows.groupBy(*BLOCK, *FEATURES).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("tokens").alias("tokens"), F.first("url_key").alias("url_key"), F.count("*").alias("n"))
+
+
+def _as_row(id_: str) -> Column:
+    return F.struct(*[(F.col(id_) if f == "id" else F.col(f)).alias(f) for f in PAIR_FIELDS])
+
+
+def _paired(vectors: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of different vectors of a block, as rows with real ids, smaller id first.
+
+    A block is itself about as wide as the tolerances, so all of it must meet; but a crowded one is dealt into parts
+    of about ``cell`` vectors and every pair of parts is a task's work of its own.  The title comparison depends on which id is
+    smaller, so two vectors whose ids interleave are compared in both orders, as the pairs of their rows would be."""
+    sizes = vectors.groupBy(*BLOCK).agg(F.count("*").alias("_m")).where("_m > 1")
+    # a block's key and size; joined by key, and skipped by blocks of one vector
+    dealt = vectors.join(sizes, BLOCK).withColumn("_parts", F.ceil(F.col("_m") / cell).cast("int")).withColumn("_part", F.pmod(F.xxhash64("low"), F.col("_parts")).cast("int"))
+    row = F.struct(_as_row("low").alias("first"), _as_row("high").alias("last"))
+    left = dealt.select(*BLOCK, row.alias("x"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
+    right = dealt.select(*BLOCK, row.alias("y"), F.col("_part").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"))
+    pairs = left.join(right, [*BLOCK, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("x.first.id") < F.col("y.first.id")))
     # only "distinct" is left for pairs whose prices or surfaces are not close, so their titles are never compared
-    close = N.rel_close(F.col("a.price"), F.col("b.price"), 0.07, 70) & N.rel_close(F.col("a.surface"), F.col("b.surface"), 0.10, 8)
-    return pairs.where(close).select("a", "b")
+    close = N.rel_close(F.col("x.first.price"), F.col("y.first.price"), 0.07, 70) & N.rel_close(F.col("x.first.surface"), F.col("y.first.surface"), 0.10, 8)
+    order = lambda p, q: F.when(F.col(f"{p}.first.id") < F.col(f"{q}.last.id"), F.struct(F.col(f"{p}.first").alias("a"), F.col(f"{q}.last").alias("b")))
+    return pairs.where(close).select(F.explode(F.array_compact(F.array(order("x", "y"), order("y", "x")))).alias("p")).select("p.a", "p.b")
 
 
-def duplicate_edges(df: DataFrame) -> DataFrame:
-    """Decided pairs that are not distinct, by exact address and by block.
+def duplicate_edges(df: DataFrame, cell: int = CELL) -> DataFrame:
+    """Decided pairs that are not distinct, by exact address and by block: enough of them for the same groups as all.
 
     Blocks are commune, family, rounded price and surface, and rooms; rows that share an exact address
-    are kept out of them.  The copies of an address are linked to the smallest id of it, which joins
-    the same group without emitting every pair."""
+    are kept out of them.  The copies of an address are linked to the smallest id of it, and the rows of one feature vector
+    to its smallest id, as they are all decided alike; different vectors are paired once for each order of ids they
+    have.  So every decision that a pair of rows gets is among the edges, and no copies are paired."""
     rows = cut(prepared(df))
     with_url = rows.where("url_key != ''")
     lowest = with_url.groupBy("url_key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -149,11 +175,19 @@ def duplicate_edges(df: DataFrame) -> DataFrame:
     spokes = exact.where("id != low").select("url_key", F.struct(*PAIR_FIELDS).alias("b")).join(heads, "url_key").select("a", "b")
     by_url = _decided(spokes).withColumns({"decision": F.lit("auto_duplicate"), "reason": F.lit("exact_url"), "confidence": F.greatest(F.lit(0.95), F.col("confidence"))})
     free = rows.join(exact.select("id"), "id", "left_anti").where("price != 0 and surface != 0")
-    free = free.withColumns({"_p": N.rounded_to(F.col("price"), 100), "_s": N.rounded_to(F.col("surface"), 10), "_r": F.coalesce("rooms", F.lit(0))})
-    by_block = _decided(_paired(free, ["commune", "family", "_p", "_s", "_r"])).where("decision != 'distinct'")
+    free = cut(free.withColumns({"_p": N.rounded_to(F.col("price"), 100), "_s": N.rounded_to(F.col("surface"), 10), "_r": F.coalesce("rooms", F.lit(0))}))
+    vectors = cut(_vectors(free))
+    by_block = _decided(_paired(vectors, cell)).where("decision != 'distinct'")
+    own = _decided(vectors.where("n > 1").select(_as_row("low").alias("a"), _as_row("low").alias("b")))
+    cols = [c for c in by_block.columns if c not in ("a", "b")]
+    repeated = vectors.where("n > 1").select(*BLOCK, *FEATURES, "low")
+    same = F.lit(True)
+    for c in (*BLOCK, *FEATURES):
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"v.{c}"))
+    copies = free.alias("f").join(repeated.alias("v"), same).where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    by_copy = copies.join(own.where("decision != 'distinct'").select("a", *cols), "a").select("a", "b", *cols)
     rank = F.struct(F.when(F.col("decision") == "auto_duplicate", 1).otherwise(0), F.col("confidence"))
-    both = by_url.unionByName(by_block)
-    cols = [c for c in both.columns if c not in ("a", "b")]
+    both = by_url.unionByName(by_block).unionByName(by_copy)
     return both.groupBy("a", "b").agg(F.max_by(F.struct(*cols), rank).alias("e")).select("a", "b", "e.*")
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from rentgrid.functions import numbers as N
 from rentgrid.functions import text as T
 from rentgrid.functions.numbers import column
+from rentgrid.operators import ranks
 
 
 def references(df: DataFrame, value: str, fine: list[str], coarse: list[str], least: int = 5) -> DataFrame:
     """Every row with its reference: the median of its fine group if that has ``least`` values, else of its
     coarse group, else of all; with the scope and the number of values.
 
-    Medians are exact: each level is one aggregation, and the coarse and global ones are small."""
-    priced = df.where(F.col(value).isNotNull())
-    level = lambda keys, p: priced.groupBy(*keys).agg(F.median(value).alias(f"{p}_median"), F.count(value).alias(f"{p}_n"))
+    Medians are exact, and neither a large group nor the whole is gathered for them."""
+    n = df.where(F.col(value).isNotNull()).count()
+    level = lambda keys, p: ranks.medians(df, keys, value, n).withColumnsRenamed({"median": f"{p}_median", "n": f"{p}_n"})
+    overall = level([], "all").agg(F.max("all_median").alias("all_median"), F.coalesce(F.max("all_n"), F.lit(0)).alias("all_n"))
     # one row for all; a group's row is joined by its keys
-    overall = priced.agg(F.median(value).alias("all_median"), F.count(value).alias("all_n"))
     out = df.join(level(fine, "fine"), fine, "left").join(level(coarse, "coarse"), coarse, "left").crossJoin(F.broadcast(overall))
     by_fine, by_coarse = F.col("fine_n") >= least, F.col("coarse_n") >= least
     pick = lambda what: F.when(by_fine, F.col(f"fine_{what}")).when(by_coarse, F.col(f"coarse_{what}")).otherwise(F.col(f"all_{what}"))
@@ -27,25 +28,27 @@ def references(df: DataFrame, value: str, fine: list[str], coarse: list[str], le
 
 
 def group_medians(df: DataFrame, key: str, value: str, least: int = 3, digits: int = 2) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.median(value).alias("_m"), F.count("*").alias("n")).where(F.col("n") >= least).select(key, N.half_even(F.col("_m"), digits).alias("median"), "n")
+    found = ranks.medians(df, [key], value)
+    return found.where(F.col("n") >= least).select(key, N.half_even(F.col("median"), digits).alias("median"), "n")
 
 
 def exclusive_quartiles(df: DataFrame, key: str, value: str, least: int = 100) -> DataFrame:
     """Exact quartiles by the exclusive method, whole numbers, for groups of ``least`` values at least.
 
-    Ranks are picked by a window over (key, value), so no group is gathered into one array."""
-    from pyspark.sql import Window
+    Only the ranges of values that hold a wanted rank are read, so one key may have nearly all rows."""
+    first = lambda n, pct: F.greatest(F.lit(1), F.least(n - 1, F.floor(pct * (n + 1) / 100)))
 
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
-    n = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("v"))).join(F.broadcast(n) if n.limit(10_001).count() <= 10_000 else n, key)
-    out = {}
+    def wanted(pct: int):
+        return lambda n: F.when(n >= least, F.array((first(n, pct) - 1).cast("long"), first(n, pct).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    at = ranks.at_ranks(df, [key], value, {pct / 100: wanted(pct) for pct in (25, 75)})
+    out, n = {}, F.col("total")
     for pct in (25, 75):
-        j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(pct * (F.col("n") + 1) / 100)))
-        delta = pct * (F.col("n") + 1) - j * 100
-        at = lambda k: F.max(F.when(F.col("r") == k, F.col("v")))  # noqa: B023,E731
-        out[pct] = ((at(j) * (100 - F.max(delta)) + at(j + 1) * F.max(delta)) / 100.0).cast("long")
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), out[25].alias("p25"), out[75].alias("p75"))
+        j = first(n, pct)
+        delta = F.max(pct * (n + 1) - j * 100)
+        value_at = lambda k: F.max(F.when(F.col("rank") == k, F.col("value")))
+        out[pct] = ((value_at(j - 1) * (100 - delta) + value_at(j) * delta) / 100.0).cast("long")
+    return at.groupBy(key).agg(F.max("total").alias("n"), out[25].alias("p25"), out[75].alias("p75"))
 
 
 def opportunity(df: DataFrame, least: int = 5) -> DataFrame:

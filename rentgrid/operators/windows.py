@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentgrid.operators.lineage import cut
+from rentgrid.operators import ranks
 
 
 def as_of(df: DataFrame, key: list[str], at: str, tie: str, is_target: Column, value: Column, forward: bool = False) -> Column:
@@ -36,10 +36,11 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return left.join(best, left_id, "left").select(*[left[c] for c in left.columns], *[F.col(f"_r.{c}").alias(f"near_{c}") for c in right_cols])
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """Rows with their turn: the first of every group, then the second of every group, and so on."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("turn", turn)
+def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Rows with their turn and place: the first of every group, then the second of every group, and so on, groups
+    of a turn by name.  ``order`` leaves no ties; a group may have nearly all rows."""
+    turns = ranks.numbered_by(df, [group], order, "turn")
+    return ranks.numbered_by(turns, [], ["turn", group], "place")
 
 
 def keep_latest(df: DataFrame, prefix: str, at: str, tie: str, keep: int) -> DataFrame:
@@ -66,12 +67,7 @@ def last_values(df: DataFrame, key: str, order: list[str], n: int, condition: Co
 
 def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
     """Rows numbered from 1 in the order of a column: in ranges of it, behind the counts of the ranges before."""
-    ranges = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-    held = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each shuffle partition at most
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = held.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = ranges.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
-    return ranked.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_rn")).drop("_range", "_rn", "_start")
+    return ranks.numbered_by(df, [], [order], name)
 
 
 def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, cutoff: float, id_col: str) -> DataFrame:

@@ -125,10 +125,12 @@ REPEATED_VALUES = f"WITH {LISTING_SQL} SELECT source_site, title, count(*) AS n
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.round_robin(table(spark, sf_dir, "events"), "event_type", [F.col("ts"), F.col("event_id")]).select("event_id", "turn")
+    """Events dealt out type by type: the turn within a type, and the place in the order of turns."""
+    return windows.round_robin(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"]).select("event_id", "turn", "place")
 
 
-ROUND_ROBIN = "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events"
+ROUND_ROBIN = """WITH t AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events)
+SELECT event_id, turn, row_number() OVER (ORDER BY turn, event_type) AS place FROM t"""
 
 
 def price_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,4 +339,4 @@ def test_empty_tables_stay_empty(spark):
     df = spark.createDataFrame([], "id string, title string, commune string, property_type string, rent_eur int, surface_m2 double, rooms int, url string, source_site string, description string")
     assert entity.duplicate_groups(df, entity.duplicate_edges(df)).count() == 0
     assert market.opportunity(df).count() == 0 and coverage.field_coverage(df, ["title"]).head().percent == 0.0
-    assert windows.round_robin(df, "source_site", [F.col("id")]).count() == 0
+    assert windows.round_robin(df, "source_site", ["id"]).count() == 0
