@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm._common import cut, ship, small, stored
+from rentgrid.llm._common import PLACE, cut, placed, ship, small, stored
 
 WINDOW, GRAM = 13, 7
 #: A fixed mapping: A-Z to lower case, all other ASCII characters that are no word characters to a space.
@@ -189,7 +189,8 @@ def contamination(
     )
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` without the contaminated ones; rows with a null id stay, rows that share an id go together."""
-    bad = contamination(docs, items, id_col, text_col, **more).where("contaminated").select(F.col("doc_id").alias("_rg_bad")).distinct()
-    return docs.join(small(cut(bad)), docs[id_col] == F.col("_rg_bad"), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """``docs`` without the contaminated ones, each row judged by itself: by its place, so with a repeated or no id too."""
+    mine = placed(docs)
+    bad = contamination(mine, items, PLACE, text_col, **more).where("contaminated").select(F.col("doc_id").alias("_rg_bad"))
+    return mine.join(small(cut(bad)), F.col(PLACE) == F.col("_rg_bad"), "left_anti").drop(PLACE)

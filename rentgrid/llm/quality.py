@@ -68,13 +68,15 @@ def statistics(raw: bytes | None) -> list[float]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [statistics(x.as_py()) for x in b.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+        names = ["doc_id", "x", *b.schema.names[2:]]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64())), *b.columns[2:]], names)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure, f"doc_id {kind}, x array<double>")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind(id_col)}", "x array<double>", *[f"{c} {kind(c)}" for c in also]])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also).mapInArrow(_measure, schema)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -176,17 +178,18 @@ def train(x: DataFrame, labels: DataFrame, features: int = 256, width: float = 0
     return lambda m: np.clip(0.999 * np.interp(s := raw(m), at, level) + 0.001 * (s + 0.5) / 2, 0, 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``; labels: (doc_id, y) to learn from."""
-    x = stored(measured(docs, id_col, text_col))
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), **more) -> DataFrame:
+    """(doc_id, score, predicted) for every row of ``docs``, and its columns ``also``; labels: (doc_id, y) to learn from."""
+    x = stored(measured(docs, id_col, text_col, also))
     model = train(x, labels, **more)  # a few hundred kB, sent with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model(_matrix(b.column(1))) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *b.columns[2:]], ["doc_id", "score", "predicted", *also])
 
-    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    kind = lambda c: x.schema[c].dataType.simpleString()
+    return x.mapInArrow(run, ", ".join([f"doc_id {kind('doc_id')}", "score double", "predicted int", *[f"{c} {kind(c)}" for c in also]]))
 
 
 def teaching(fold: Column) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm._common import cut, ship, small, stored
+from rentgrid.llm._common import PLACE, cut, placed, ship, small, stored
 from rentgrid.llm._graph import components
 
 SEED, SHINGLE, RADIUS, BLOCK, PATTERNS = 42, 3, 2, 16, 8
@@ -62,14 +62,14 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``also``: fp is the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_hash_batches, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *also)
+    return rows.mapInArrow(_hash_batches, ", ".join(["doc_id long", "fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in also]]))
 
 
 def _signed(x: int) -> int:
@@ -131,27 +131,33 @@ def links(fps: DataFrame, max_cell: int = 64) -> DataFrame:
     return verified.unionByName(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cell: int = 64) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest id reachable), n_links of its fingerprint."""
-    rows = stored(fingerprints(docs, id_col, text_col))
+def _classes(rows: DataFrame, max_cell: int) -> DataFrame:
+    """(fp, root, component_id, n_links) of every fingerprint of stored ``rows``: root is its component's smallest fingerprint."""
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     edges = cut(links(fps, max_cell))
     degree = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = components(edges).withColumnRenamed("node", "fp")
     named = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = cut(
-        named.join(lows, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return cut(
+        named.join(lows, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
-    return rows.join(small(classes), "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not the smallest id of their component.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cell: int = 64) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest id reachable), n_links of its fingerprint."""
+    rows = stored(fingerprints(docs, id_col, text_col))
+    return rows.join(small(_classes(rows, max_cell)), "fp").select("doc_id", "fp", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cell: int = 64) -> DataFrame:
+    """One row of each component of ``docs``: the smallest id's, of several the first by place.
 
-    Rows that share an id are one document: they stay or go together; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    gone = found.where("doc_id != component_id").select("doc_id").distinct().join(stay, "doc_id", "left_anti")
-    gone = small(cut(gone.withColumnRenamed("doc_id", "_rg_gone")))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_rg_gone"], "left_anti")
+    Rows are judged by their places, so repeated ids and rows without an id (after all with one) are decided too."""
+    mine = placed(docs)
+    rows = stored(fingerprints(mine, id_col, text_col, (PLACE,)))
+    found = rows.join(small(_classes(rows, max_cell).select("fp", "root")), "fp")
+    best = cut(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", PLACE)).alias("best"), F.count("*").alias("n")).where("n > 1"))
+    gone = found.join(small(best.select("root", F.col(f"best.{PLACE}").alias("_rg_best"))), "root").where(F.col(PLACE) != F.col("_rg_best"))
+    gone = small(cut(gone.select(F.col(PLACE).alias("_rg_gone"))))
+    return mine.join(gone, F.col(PLACE) == F.col("_rg_gone"), "left_anti").drop(PLACE)

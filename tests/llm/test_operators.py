@@ -435,6 +435,9 @@ def test_decontamination_of_tables(spark, sf, docs, awkward, nothing):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     clean = decontaminate.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.count() - sum(x[4] for x in got)
+    bad = {x[0] for x in got if x[4]}
+    nameless = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("doc_id").alias("own"))
+    assert {r.own for r in decontaminate.remove_contaminated(nameless, bench).collect()} == {d for d, in rows(docs, "doc_id")} - bad
 
 
 def test_winnowing_leaves_a_mark_in_every_shared_window():
@@ -596,6 +599,11 @@ def test_near_duplicates_of_documents(docs, awkward, nothing):
     assert rows(simhash_dedup.near_duplicates(nothing)) == []
     kept = simhash_dedup.keep_one(awkward)
     assert kept.columns == awkward.columns and sorted(str(x[0]) for x in rows(kept, "doc_id")) == ["1", "4", "5", "7", "8", "None"]
+    twice = awkward.where("doc_id = 7 or doc_id is null").select("doc_id", "text")
+    again = simhash_dedup.keep_one(twice.unionByName(twice).unionByName(twice))
+    assert sorted(map(str, rows(again))) == sorted(map(str, rows(twice)))  # rows of one id, and of none, are told apart
+    copies = twice.select(F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("doc_id"), F.lit("one text for all of them").alias("text"))
+    assert rows(simhash_dedup.keep_one(copies), "doc_id") == [(7,)]
 
 
 def test_block_coordinates_come_from_pairs_of_references():

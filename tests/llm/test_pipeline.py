@@ -31,6 +31,15 @@ def test_run_matches_brute_force(spark, sf):
     assert max(size.values()) - min(size.values()) <= 2 * largest + 0.01 * sum(size.values())
 
 
+def test_rows_without_an_id_are_judged(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    named = corpus_pipeline.good_quality(spark, docs, sf)
+    # the labelled rows keep their ids, so the same model is learned
+    blank = docs.withColumns({"own": F.col("doc_id"), "doc_id": F.when(F.col("doc_id").isin([r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]), F.col("doc_id"))})
+    got = {r.own for r in corpus_pipeline.good_quality(spark, blank, sf).collect()}
+    assert got == {r.doc_id for r in named.collect()} and len(got) < docs.count()
+
+
 def test_shards_are_runs_of_the_mix(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     corpus_pipeline.mixed_to_weights(spark, docs, sf).write.parquet(str(tmp_path / "mix"))
