@@ -19,12 +19,12 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts; rows that share an id are judged together, by the best of them."""
+    """Documents the classifier accepts, each row judged by its own text: by its place, so with a repeated or no id too."""
     labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("y"))
-    scored = quality.score(docs, labels)
-    judged = scored.groupBy(F.col("doc_id").alias("_rg_id")).agg(F.max("predicted").alias("best"))
-    bad = small(cut(judged.where("best = 0 and _rg_id is not null").select("_rg_id")))
-    return docs.join(bad, F.col("doc_id") == F.col("_rg_id"), "left_anti")
+    mine = placed(docs)
+    scored = quality.score(mine, labels, also=(PLACE,))
+    bad = small(cut(scored.where("predicted = 0").select(F.col(PLACE).alias("_rg_bad"))))
+    return mine.join(bad, F.col(PLACE) == F.col("_rg_bad"), "left_anti").drop(PLACE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
