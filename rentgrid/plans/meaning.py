@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentgrid.functions import semantics, variant
+from rentgrid.functions import housing, semantics, variant
 from rentgrid.operators import products
 from rentgrid.plans.stand_in import LISTING_SQL, listings, table
 
@@ -87,6 +87,30 @@ _HINT = variant.SECRET_HINT.replace("'", "''")
 SECRET_HINTS = f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{_HINT}')) AS hints FROM documents) WHERE hints > 0"
 
 
+# ---- housing details
+
+_ROOMS = """concat(CASE n % 5 WHEN 0 THEN 'Duplex. ' WHEN 1 THEN 'Maison de plain-pied. ' ELSE '' END, CASE n % 4 WHEN 0 THEN 'Deux douches et 1 sdb, ' WHEN 1 THEN 'une salle d’eau, ' WHEN 2 THEN '12 douches, ' ELSE '' END,
+ CASE n % 3 WHEN 0 THEN 'WC. ' WHEN 1 THEN '3 toilettes. ' ELSE 'calme. ' END, CASE n % 7 WHEN 0 THEN 'Au rez-de-chaussée, une chambre; à l''étage : trois chambres.' WHEN 1 THEN 'Elle comprend: 2 chambres et à l''étage une chambre.' WHEN 2 THEN 'Quatre chambres.' WHEN 3 THEN 'RDC avec cuisine.' ELSE '' END)"""
+
+
+def housing_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by noun and storey; a split beyond the listing's bedrooms is hidden."""
+    d = _numbered(spark, sf_dir).withColumn("h", housing.details(F.lit("T"), F.expr(_ROOMS), F.col("bedrooms")))
+    split = F.col("h.bedroom_distribution")
+    return d.select(
+        "id", F.col("h.bathrooms.count").alias("bathrooms"), F.col("h.bathrooms.confidence").alias("confidence"), F.size("h.bathrooms.evidence").alias("n_evidence"), F.col("h.wc.count").alias("wc"), F.col("h.layout.label").alias("label"),
+        F.array_join("h.layout.evidence", "|").alias("storeys"), split["ground_floor_count"].alias("ground"), split["upstairs_count"].alias("upstairs"), split["status"].alias("status"), F.array_join(split["evidence"], "|").alias("said"),
+    )
+
+
+HOUSING_DETAILS = f"""{_N}, k AS (SELECT *, CASE n % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS low, CASE n % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS up FROM l), c AS (SELECT *, coalesce(low + up > nullif(bedrooms, 0), false) AS apart FROM k)
+SELECT id, CASE n % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 END::INT AS bathrooms, CASE WHEN n % 4 = 3 THEN 'absent' ELSE 'source_text' END AS confidence, CASE n % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END::INT AS n_evidence,
+ CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 END::INT AS wc, CASE WHEN n % 5 = 1 THEN 'Tout RDC / plain-pied' WHEN n % 5 = 0 OR n % 7 = 0 THEN 'Duplex / étage(s)' WHEN n % 7 = 3 THEN 'RDC mentionné' WHEN n % 7 = 1 THEN 'Étage mentionné' ELSE 'Non précisé' END AS label,
+ concat_ws('|', CASE WHEN n % 7 = 3 THEN 'RDC' END, CASE WHEN n % 5 = 0 THEN 'Duplex' END, CASE WHEN n % 5 = 1 THEN 'plain-pied' END) AS storeys,
+ CASE WHEN NOT apart THEN low END::INT AS ground, CASE WHEN NOT apart THEN up END::INT AS upstairs, CASE WHEN low IS NULL THEN 'unknown' WHEN apart THEN 'conflict' ELSE 'ok' END AS status,
+ CASE n % 7 WHEN 0 THEN 'rez-de-chaussée, une chambre|à l''étage : trois chambres' WHEN 1 THEN 'comprend: 2 chambres et à l''étage|à l''étage une chambre' WHEN 3 THEN 'RDC avec cuisine' ELSE '' END AS said FROM c"""
+
+
 # ---- items
 
 _VIEW = {
@@ -218,5 +242,5 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 REDACTED_DOCUMENTS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(props, ': ', ':') WHEN 1 THEN '{"steps":[[' || event_id || ',{"note":"[REDACTED]abc"}],[]],"ok":true}'
  WHEN 2 THEN '{"log":"see [path-redacted] now","n":' || event_id || '.5,"none":null}' END AS report FROM events"""
 
-QUERIES = {f.__name__: f for f in (description_semantics, secret_hints, product_items, clean_items, slim_documents, journal_items, redacted_documents)}
+QUERIES = {f.__name__: f for f in (description_semantics, housing_details, secret_hints, product_items, clean_items, slim_documents, journal_items, redacted_documents)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

@@ -130,16 +130,30 @@ def guess_city(c: Column) -> Column:
     return F.coalesce(named, X.group(T.text(c), r"\b(974\d{2})\b"))
 
 
+#: What is read of a feed; a broken one has its text in ``_corrupt_record``.
+FEED = "channel struct<item array<struct<link string, title string, description string>>>, _corrupt_record string"
+
+
 def rss_items(feeds: DataFrame, source: str, xml: str = "html", must: str = "location") -> DataFrame:
-    """Items of RSS feeds whose title holds ``must``: url, source_id, title, city, price, surface, rooms, description."""
-    raw = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("i"))
-    tag = lambda n: F.nullif(T.clean(X.visible_text(F.coalesce(X.group(F.col("i"), rf"(?s)<{n}><!\[CDATA\[(.*?)\]\]></{n}>"), X.group(F.col("i"), rf"(?s)<{n}>(.*?)</{n}>")))), F.lit(""))
-    r = raw.select(tag("link").alias("url"), tag("title").alias("title"), tag("description").alias("description")).where(F.contains(F.lower("title"), F.lit(must)) & F.col("url").isNotNull())
+    """Items of RSS feeds whose title holds ``must``: url, source_id, title, city, price, surface, rooms, description.
+
+    Feeds are parsed as XML, so CDATA and entities are what they mean, and an element of another namespace is another element; a broken feed gives no items
+    (``broken_feeds`` lists them), nor does one without a link."""
+    parsed = F.from_xml(F.col(xml), FEED, {"mode": "PERMISSIVE"})
+    raw = feeds.select(F.explode(parsed["channel"]["item"]).alias("i")).select("i.*")
+    text = lambda n: F.nullif(T.clean(X.visible_text(F.col(n))), F.lit(""))
+    r = raw.select(text("link").alias("url"), text("title").alias("title"), text("description").alias("description")).where(F.contains(F.lower("title"), F.lit(must)) & F.col("url").isNotNull())
     both = F.concat_ws(" ", "title", "description")
     sid = F.coalesce(X.group(F.col("url"), "/([0-9]+)/"), F.left(F.md5("url"), F.lit(16)))
     return r.select("url", F.lit(source).alias("source"), sid.alias("source_id"), "title", guess_city(both).alias("city"), X.rent(both).alias("price"), X.surface(both).alias("surface"), X.rooms(both).alias("rooms"), "description")
 
 
+def broken_feeds(feeds: DataFrame, xml: str = "html") -> DataFrame:
+    """The feeds that are no XML."""
+    parsed = F.from_xml(F.col(xml), FEED, {"mode": "PERMISSIVE"})
+    return feeds.withColumn("_feed", parsed).where("_feed._corrupt_record is not null").drop("_feed")
+
+
 def escaped_links(pages: DataFrame, prefix: str, containing: str, html: str = "html") -> DataFrame:
     """(url): addresses that a page holds as escaped JSON, each once."""
     plain = F.replace(F.col(html), F.lit("\\/"), F.lit("/"))
