@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentgrid.operators import tables
 from rentgrid.operators.lineage import shared_dir
 from rentgrid.plans.stand_in import LISTING_SQL, listings, table
-from rentgrid.sources import files, pages
+from rentgrid.sources import files, pages, recovery
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
@@ -116,5 +116,28 @@ MANIFEST_FIGURES = f"""WITH {LISTING_SQL}, l AS (SELECT *, id::INT AS n FROM lis
  UNION ALL SELECT 'local_primary_photos', '', count(*) FILTER (image_url <> '') FROM l UNION ALL SELECT 'local_multi_galleries', '', count(*) FILTER (n % 3 > 0 AND rooms > 1) FROM l
  UNION ALL SELECT 'source_count', CASE WHEN n % 6 > 0 THEN source_site ELSE 'unknown' END, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'dedup_group_count', '', count(DISTINCT commune) FROM l"""
 
-QUERIES = {f.__name__: f for f in (image_quality, feed_items, table_versions, run_log, manifest_figures)}
+#: What is stored of a listing by its source, and what has to be recovered from it.
+_PROSE = "concat('Bel appartement numéro ', id, ' lumineux et calme, proche des écoles et des commerces, avec une vue dégagée sur la mer et un grand jardin partagé')"
+_STORED = {
+    "html": """CASE n % 7 WHEN 1 THEN concat('<script type="application/ld+json">[{"@type":"Other","description":"no"},{"@type":"RealEstateListing","description":"', prose, '. Voir moins"}]</script>')
+      WHEN 3 THEN concat('<meta name="description" content="short"><div><div class="bloc descriptif x"><p>', prose, '</p></div></div>') WHEN 4 THEN concat('<meta name="description" content="Meta ', id, '"><b>Dépôt de garantie</b> : 900 €')
+      WHEN 5 THEN concat('<meta property="og:description" content="', prose, '">') WHEN 6 THEN concat('<meta name="description" content="de e"><div class="property__description-content">', prose, '</div>') ELSE '' END""",
+    "payload": "CASE n % 7 WHEN 2 THEN concat('{\"id\":1,\"description\":\"<p>', prose, '</p> Géorisques: voir le site\"}') WHEN 5 THEN CASE n % 2 WHEN 0 THEN concat('{\"content\":\"', prose, ' Nos tarifs en ligne\"}') ELSE 'no json' END END",
+    "text": "CASE n % 7 WHEN 0 THEN concat('T2 900 € CC Saint-Paul (97460) ', prose) END",
+}
+_RULES = {"src0": "card", "src1": "structured", "src2": "offer", "src3": "block", "src4": "price_details", "src5": "content", "src6": "content_block"}
+
+
+def recovered_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of listings of seven sources, each by its source's rule."""
+    d = listings(spark, sf_dir).withColumn("n", F.expr("cast(id as int)")).withColumn("prose", F.expr(_PROSE))
+    d = d.select("id", F.concat(F.lit("src"), (F.col("n") % 7).cast("string")).alias("source"), *[F.expr(e).alias(c) for c, e in _STORED.items()])
+    return recovery.recovered(d, _RULES).select("id", "source", "method", "recovered")
+
+
+RECOVERED_DESCRIPTIONS = f"""WITH {LISTING_SQL}, l AS (SELECT id, id::INT AS n, {_PROSE} AS prose FROM listing)
+SELECT id, 'src' || n % 7 AS source, ['card', 'structured', 'offer', 'block', 'price_details', 'content', 'content_block'][n % 7 + 1] AS method,
+ CASE n % 7 WHEN 1 THEN prose || '.' WHEN 4 THEN 'Meta ' || id || ' Dépôt de garantie : 900 €' ELSE prose END AS recovered FROM l"""
+
+QUERIES = {f.__name__: f for f in (image_quality, feed_items, recovered_descriptions, table_versions, run_log, manifest_figures)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

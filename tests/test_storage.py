@@ -115,3 +115,18 @@ def test_contradicting_bedrooms_are_hidden(spark, text, bedrooms, want):
 def test_crawler_fragments_are_removed(spark):
     df = spark.createDataFrame([("Beau T2.  Annonce Site collectée par CDP. commune serp_view=a&b search=x fin",)], "t string")
     assert df.select(housing.visible(F.col("t"))).head()[0] == "Beau T2.   fin" or df.select(F.regexp_replace(housing.visible(F.col("t")), " +", " ")).head()[0] == "Beau T2. fin"
+
+
+def test_recovery_by_the_sources_own_rules(spark):
+    from rentgrid.sources import recovery
+
+    long = "Un texte qui décrit longuement ce logement, ses pièces, sa vue, ses voisins et le chemin qui mène à la plage du village."
+    rows = [
+        ("s", f'<script type="application/ld+json">{{"@type":["RealEstateListing"],"description":"{long} {long}"}}</script><script type="application/ld+json">bad</script>', None, None),
+        ("s", '<meta content="repli" name="description"><script type="application/ld+json">{"@type":"Thing","description":"x"}</script>', None, None),
+        ("c", None, None, "L'annonce a bien été ajoutée à vos favoris (97400) " + long), ("c", None, None, "x" * 90 + " Dans " + long), ("c", None, None, "court"),
+        ("z", '<meta name="description" content="trop court">', '{"content":"bref"}', None), ("z", f'<meta name="description" content="{long}">', "[]", None), ("unknown", "<p>a</p>", "{}", "t"), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, source string, html string, payload string, text string")
+    got = {r.i: (r.method, r.recovered) for r in recovery.recovered(df, {"s": "structured", "c": "card", "z": "content"}).collect()}
+    assert got == {0: ("structured", long), 1: ("structured", "repli"), 2: ("card", long), 3: ("card", "Dans " + long), 4: ("card", ""), 5: ("content", ""), 6: ("content", long), 7: (None, ""), 8: (None, "")}
