@@ -107,6 +107,17 @@ def is_fresh(first: Column, now: Column, days: int = 3) -> Column:
     return F.coalesce(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 8.64e10) <= days, F.lit(False))
 
 
+def location_summary(df: DataFrame, location: str = "location", most: int = 30) -> DataFrame:
+    """(figure, key, n) of inferred places: listings, those in the focus, by quality, and the ``most`` commonest communes."""
+    at = lambda f: F.col(f"{location}.{f}")
+    counts = df.groupBy(at("commune_inferred").alias("commune"), at("quality").alias("quality"), at("focus").alias("focus")).agg(F.count("*").alias("n"))
+    figure = lambda name, key: counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).select(F.lit(name).alias("figure"), "key", "n")
+    communes = figure("commune", F.col("commune")).orderBy(F.desc("n"), "key").limit(most)
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("focus"), F.col("n")).otherwise(0)), F.lit(0)).alias("focus"))
+    whole = one.select(F.inline(F.array(F.struct(F.lit("listings").alias("figure"), F.lit("").alias("key"), F.col("all").alias("n")), F.struct(F.lit("focus").alias("figure"), F.lit("").alias("key"), F.col("focus").alias("n")))))
+    return whole.unionByName(figure("quality", F.col("quality"))).unionByName(communes)
+
+
 def per_source(df: DataFrame, source: str, active: Column, read: Column, last: str) -> DataFrame:
     return df.groupBy(source).agg(F.count("*").alias("total"), F.count_if(active).alias("active"), F.count_if(read).alias("detail_read"), F.max(last).alias("latest")).orderBy(source)
 
