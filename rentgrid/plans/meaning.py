@@ -78,13 +78,13 @@ SELECT id, CASE n % 4 WHEN 0 THEN 'non_meuble' WHEN 1 THEN 'meuble' WHEN 2 THEN
 
 
 def secret_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that seem to hold secrets, with how many."""
+    """Documents that seem to hold secrets, with how many; the plain tokens of the table are named as access tokens."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", variant.secret_hints(F.col("text")).alias("hints")).where("hints > 0")
+    return d.select("doc_id", variant.secret_hints(F.replace("text", F.lit("token = "), F.lit("access_token = "))).alias("hints")).where("hints > 0")
 
 
 _HINT = variant.SECRET_HINT.replace("'", "''")
-SECRET_HINTS = f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '{_HINT}')) AS hints FROM documents) WHERE hints > 0"
+SECRET_HINTS = f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(replace(text, 'token = ', 'access_token = '), '{_HINT}'))::INT AS hints FROM documents) WHERE hints > 0"
 
 
 # ---- housing details
