@@ -694,6 +694,9 @@ def test_registered_queries_have_their_columns(spark, sf):
         "op4": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string", "op5": "doc_id:bigint held_out:boolean score:double predicted:int",
         "op6": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean", "op8": "doc_id:bigint fingerprint:string component_id:bigint",
         "op9": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int", "op10": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
+        "op11": "part:string filter_order:string step:int kept:bigint removed:bigint redundant:bigint unique_fails:bigint good_lost:bigint toxic_lost:bigint shapley:bigint",
+        "op12": "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double",
+        "op13": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
     }
     for name, f in QUERIES.items():
         kinds = dict(f(spark, sf).dtypes)
