@@ -250,10 +250,14 @@ _FAMILY = {
 }
 
 
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = listings(spark, sf_dir).select("id", F.lpad("id", 9, "0").alias("wide"), "description", "score", "image_url", F.expr("cast(id as int)").alias("n"))
+    return d.withColumns({c: F.expr(e.replace("{text}", "string")) for c, e in _FAMILY.items()}).withColumn("id", F.col("wide"))
+
+
 def duplicate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups among families of listings whose likeness is known."""
-    d = listings(spark, sf_dir).select("id", F.lpad("id", 9, "0").alias("wide"), "description", "score", "image_url", F.expr("cast(id as int)").alias("n"))
-    rows = d.withColumns({c: F.expr(e.replace("{text}", "string")) for c, e in _FAMILY.items()}).withColumn("id", F.col("wide"))
+    rows = _families(spark, sf_dir)
     out = entity.duplicate_groups(rows, entity.duplicate_edges(rows))
     return out.select("group_id", "decision", "confidence", "canonical_id", F.array_join("member_ids", ",").alias("members"), F.array_join("sources", ",").alias("sources"))
 
@@ -267,11 +271,23 @@ SELECT 'D' || lpad((row_number() OVER (ORDER BY ids[1]))::VARCHAR, greatest(4, l
  CASE WHEN kind = 'alike' AND alike = 2 THEN 1.0 WHEN kind = 'alike' THEN round_even(0.26 + 0.24 * (1 - 40 / 1040.0::DOUBLE) + 0.22 + 0.08, 3) ELSE 0.95 END::DOUBLE AS confidence, canonical_id, array_to_string(ids, ',') AS members, array_to_string(list_sort(list_distinct(sources)), ',') AS sources FROM c"""
 
 
+def shown_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing of the families with its group, its role there, and whether it is shown."""
+    rows = _families(spark, sf_dir)
+    return entity.annotate(rows, entity.duplicate_groups(rows, entity.duplicate_edges(rows))).select("id", "group_id", "dedup_decision", "role", "display_canonical")
+
+
+SHOWN_DUPLICATES = f"""
+WITH g AS ({DUPLICATE_FAMILIES}), m AS (SELECT unnest(string_split(members, ',')) AS id, group_id, decision, canonical_id FROM g)
+SELECT lpad(p_partkey::VARCHAR, 9, '0') AS id, group_id, decision AS dedup_decision, CASE WHEN m.id = canonical_id THEN 'canonical' WHEN m.id IS NOT NULL THEN 'duplicate_or_variant' END AS role,
+ NOT coalesce(decision = 'auto_duplicate' AND m.id <> canonical_id, false) AS display_canonical FROM part LEFT JOIN m ON m.id = lpad(p_partkey::VARCHAR, 9, '0')"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         market_reference, group_medians, exclusive_quartiles, opportunity, default_scores, saved_searches, new_alerts, watch_notices, profile_matches, profile_scores,
-        duplicate_keys, duplicate_audit, exact_copies, linked_returns, duplicate_groups, duplicate_families,
+        duplicate_keys, duplicate_audit, exact_copies, linked_returns, duplicate_groups, duplicate_families, shown_duplicates,
     )
 }
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n != "duplicate_groups"}

@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentgrid.operators import tables
 from rentgrid.operators.lineage import shared_dir
 from rentgrid.plans.stand_in import LISTING_SQL, listings, table
-from rentgrid.sources import files, pages, recovery
+from rentgrid.sources import documents, files, pages, recovery
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
@@ -56,6 +57,21 @@ FEED_ITEMS = f"""WITH {LISTING_SQL} SELECT 'http://f.example/' || id || '/x?a=1&
 FROM listing WHERE id::INT % 3 < 2 AND (id::INT // 20) % 7 > 0"""
 
 
+def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings read back from documents of fifty: wrapped lists, bare lists, and lists with nulls beside a head."""
+    path = _folder(spark, "documents")
+    d = listings(spark, sf_dir).withColumn("n", F.expr("cast(id as int)"))
+    one = F.to_json(F.struct("id", "title", "rent_eur"))
+    docs = d.groupBy(F.floor(F.col("n") / 50).alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("items"))
+    form = F.col("doc") % 3
+    text = F.when(form == 0, F.concat(F.lit('{"listings":['), "items", F.lit("]}"))).when(form == 1, F.concat(F.lit("["), "items", F.lit("]"))).otherwise(F.concat(F.lit('{"meta":{"n":1},"listings":[null,'), "items", F.lit(",null]}")))
+    docs.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
+    return documents.listings(spark, f"{path}/doc=*", T.StructType.fromDDL("id string, title string, rent_eur int")).select("id", "title", "rent_eur")
+
+
+SCANNED_DOCUMENTS = f"WITH {LISTING_SQL} SELECT id, title, rent_eur FROM listing"
+
+
 def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a table's manifests say and its readers see over a life: first version, a batch appended twice, a version that is
     never published, one that is refused, and a step back."""
@@ -139,5 +155,5 @@ RECOVERED_DESCRIPTIONS = f"""WITH {LISTING_SQL}, l AS (SELECT id, id::INT AS n,
 SELECT id, 'src' || n % 7 AS source, ['card', 'structured', 'offer', 'block', 'price_details', 'content', 'content_block'][n % 7 + 1] AS method,
  CASE n % 7 WHEN 1 THEN prose || '.' WHEN 4 THEN 'Meta ' || id || ' Dépôt de garantie : 900 €' ELSE prose END AS recovered FROM l"""
 
-QUERIES = {f.__name__: f for f in (image_quality, feed_items, recovered_descriptions, table_versions, run_log, manifest_figures)}
+QUERIES = {f.__name__: f for f in (image_quality, feed_items, recovered_descriptions, scanned_documents, table_versions, run_log, manifest_figures)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
