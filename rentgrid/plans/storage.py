@@ -57,6 +57,28 @@ FEED_ITEMS = f"""WITH {LISTING_SQL} SELECT 'http://f.example/' || id || '/x?a=1&
 FROM listing WHERE id::INT % 3 < 2 AND (id::INT // 20) % 7 > 0"""
 
 
+#: Listings' own pages by their number: structured data beside the agency's, meta tags, a map, an address in prose, a far place.
+_PAGE = """CASE n % 5 WHEN 0 THEN concat('<script type="application/ld+json">[{"@type":"RealEstateAgent","address":{"streetAddress":"1 avenue Autre"},"geo":{"latitude":-21.0,"longitude":55.3}},{"@type":"Apartment","address":{"streetAddress":"', id,
+  ' rue Pasteur","postalCode":"97400","addressLocality":"Saint-Denis"},"geo":{"latitude":"-20.9","longitude":"55.4"},"numberOfRooms":', cast(rooms as {text}), ',"image":["http://i/1","http://i/2","http://i/1"]}]</script>')
+ WHEN 1 THEN '<meta property="og:latitude" content="-21.25"><meta content="55.5" property="og:longitude"><meta name="og:locality" content="Saint-Paul">' WHEN 2 THEN '<a href="https://maps.example/?q=-21.1,55.6">plan</a>'
+ WHEN 3 THEN concat('<div class="bloc description">Appartement situé ', cast(1 + n % 90 as {text}), ' rue des Lilas, quartier calme, au 3ème étage avec ascenseur, charges : ', cast(20 + n % 50 as {text}), ' € par mois, proche de tout commerce.</div>')
+ ELSE '<a href="https://maps.example/?q=48.8,2.3">Paris</a>' END"""
+
+
+def located_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where listings' pages say they are, how precisely, and what told it."""
+    d = listings(spark, sf_dir).withColumn("n", F.expr("cast(id as int)"))
+    p = pages.page_details(d.select(F.col("id").alias("url"), F.expr(_PAGE.replace("{text}", "string")).alias("html")))
+    return p.select(F.col("url").alias("id"), "address", "street", "lat", "lon", "postal_code", "locality", "bedrooms", F.size("images").alias("n_images"), "floor", "has_elevator", "charges_eur", "precision", "geo_source")
+
+
+LOCATED_PAGES = f"""WITH {LISTING_SQL}, l AS (SELECT *, id::INT AS n, id::INT % 5 AS k FROM listing)
+SELECT id, CASE WHEN k = 3 THEN (1 + n % 90) || ' rue des Lilas' END AS address, CASE k WHEN 0 THEN id || ' rue Pasteur' WHEN 3 THEN 'rue des Lilas' END AS street, CASE k WHEN 0 THEN -20.9 WHEN 1 THEN -21.25 WHEN 2 THEN -21.1 END::DOUBLE AS lat,
+ CASE k WHEN 0 THEN 55.4 WHEN 1 THEN 55.5 WHEN 2 THEN 55.6 END::DOUBLE AS lon, CASE WHEN k = 0 THEN '97400' END AS postal_code, CASE k WHEN 0 THEN 'Saint-Denis' WHEN 1 THEN 'Saint-Paul' END AS locality, CASE WHEN k = 0 THEN rooms END::INT AS bedrooms,
+ CASE WHEN k = 0 THEN 2 ELSE 0 END::INT AS n_images, CASE WHEN k = 3 THEN '3e etage' END AS floor, CASE WHEN k = 3 THEN 1 END::INT AS has_elevator, CASE WHEN k = 3 THEN 20 + n % 50 END::INT AS charges_eur,
+ CASE k WHEN 0 THEN 'rue' WHEN 3 THEN 'adresse_exacte' WHEN 4 THEN 'inconnu' ELSE 'point_carte' END AS precision, ['jsonld', 'meta', 'carte', 'texte', 'aucun'][k + 1] AS geo_source FROM l"""
+
+
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings read back from documents of fifty: wrapped lists, bare lists, and lists with nulls beside a head."""
     path = _folder(spark, "documents")
@@ -155,5 +177,5 @@ RECOVERED_DESCRIPTIONS = f"""WITH {LISTING_SQL}, l AS (SELECT id, id::INT AS n,
 SELECT id, 'src' || n % 7 AS source, ['card', 'structured', 'offer', 'block', 'price_details', 'content', 'content_block'][n % 7 + 1] AS method,
  CASE n % 7 WHEN 1 THEN prose || '.' WHEN 4 THEN 'Meta ' || id || ' Dépôt de garantie : 900 €' ELSE prose END AS recovered FROM l"""
 
-QUERIES = {f.__name__: f for f in (image_quality, feed_items, recovered_descriptions, scanned_documents, table_versions, run_log, manifest_figures)}
+QUERIES = {f.__name__: f for f in (image_quality, feed_items, recovered_descriptions, located_pages, scanned_documents, table_versions, run_log, manifest_figures)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
