@@ -131,7 +131,8 @@ def guess_city(c: Column) -> Column:
 
 
 #: What is read of a feed; a broken one has its text in ``_corrupt_record``.
-FEED = "channel struct<item array<struct<link string, title string, description string>>>, _corrupt_record string"
+_ITEMS = "array<struct<link string, title string, description string>>"
+FEED = f"channel struct<item {_ITEMS}>, item {_ITEMS}, _corrupt_record string"
 
 
 def rss_items(feeds: DataFrame, source: str, xml: str = "html", must: str = "location") -> DataFrame:
@@ -140,7 +141,9 @@ def rss_items(feeds: DataFrame, source: str, xml: str = "html", must: str = "loc
     Feeds are parsed as XML, so CDATA and entities are what they mean, and an element of another namespace is another element; a broken feed gives no items
     (``broken_feeds`` lists them), nor does one without a link."""
     parsed = F.from_xml(F.col(xml), FEED, {"mode": "PERMISSIVE"})
-    raw = feeds.select(F.explode(parsed["channel"]["item"]).alias("i")).select("i.*")
+    nothing = F.array().cast(_ITEMS.replace(" string", ":string"))
+    read = feeds.select(parsed.alias("f")).select(F.concat(F.coalesce("f.channel.item", nothing), F.coalesce("f.item", nothing)).alias("items"))  # in the channel, or beside it
+    raw = read.select(F.explode("items").alias("i")).select("i.*")
     text = lambda n: F.nullif(T.clean(X.visible_text(F.col(n))), F.lit(""))
     r = raw.select(text("link").alias("url"), text("title").alias("title"), text("description").alias("description")).where(F.contains(F.lower("title"), F.lit(must)) & F.col("url").isNotNull())
     both = F.concat_ws(" ", "title", "description")
