@@ -10,15 +10,16 @@ with the rest.  Every three neighbours in a signature are a band.  At a similari
 of sixteen places agree on some band with a probability of 0.997 (and for certain if they have no
 more shingles than places).
 
-Links are looked for where they can still join two components, in levels.  In every band the member
-that meets most others elsewhere is the star; each line is verified against the stars it shares most
-bands with.  Then the bands of at most ``max_band`` lines, in which several components are left, are
-paired off across the components.  Larger ones go to the next level, where longer runs of a larger
-sketch (``LEVELS``) split them, so that no group is ever paired off as a whole.  After the last level
-the remaining large bands have further rounds of stars, until a round joins nothing.
-
-A pair is verified if a sketch of 64 places does not speak against it, by the exact Jaccard
-similarity of all shingles, for which 64-bit hashes stand (as for the lines themselves).  Verified
+Every pair of a band of at most ``max_band`` lines is tried.  In a larger one the member that meets most
+others elsewhere is the star, and each line is verified against the stars it shares most bands with, for
+``ROUNDS``.  The lines of the larger bands in which several components are left are then searched exactly, among
+each other: in an order of all their shingles by the number of lines that have them, two similar lines share one
+of the first (``rare``), and have enough behind it for the rest (``near``).  After one round of stars for the rare
+shingles, every such pair of different components is verified.  So no link of a larger band is lost, and only
+lines that share a rare shingle are paired off.
+
+A pair from a band is verified if a sketch of 64 places does not speak against it, any other without that, by the exact
+Jaccard similarity of all shingles, for which 64-bit hashes stand (as for the lines themselves).  Verified
 pairs are joined by distributed union-find, and of every component the line that occurs first, by
 document id and line number, stays.  Equal lines are one line in all of this.
 
@@ -39,10 +40,10 @@ from rentgrid.llm._common import cut, small, stored
 from rentgrid.llm._graph import components
 
 SHINGLE, SKETCH, RUN, SIMILARITY, MAX_BAND = 9, 16, 3, 0.8, 32
-#: (places of the sketch, neighbours of a band) of the levels after the first.
-LEVELS = ((256, 10),)
 #: Places of the sketch that is compared before a pair is verified, stars a line is verified against at a time.
 PLACES, STARS = 64, 3
+#: Rounds of stars in the bands of more than ``max_band`` lines before their lines are searched exactly.
+ROUNDS = 2
 #: Up to so many 64-bit keys are broadcast to pick lines or documents out of a scan.
 KEYS = 1_000_000
 #: Up to so many rows of a few dozen bytes, or lists of as many entries in all, are broadcast.
@@ -95,11 +96,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("line"))
 
 
-def _runs(m: Column, r: int) -> Column:
-    """Hashes of every ``r`` neighbours in a sketch."""
-    return F.transform(F.sequence(F.lit(1), F.size(m) - r + 1), lambda i: F.xxhash64(F.slice(m, i, r)))
-
-
 def bands(m: Column, sketch: int) -> Column:
     """Hashes of every ``RUN`` neighbours in a signature; of every two in those of at most five shingles,
     as two sets of four and five may share no three neighbours."""
@@ -107,10 +103,14 @@ def bands(m: Column, sketch: int) -> Column:
     return F.when(F.size(m) < 5, runs(2)).when((F.size(m) == 5) & (sketch > 5), F.concat(runs(2), runs(RUN))).otherwise(runs(RUN))
 
 
-def shared_bands(rows: DataFrame) -> DataFrame:
-    """(band, k), once each, of the bands that several different lines have; rows: (k, band), repeats allowed."""
-    met = rows.groupBy("band").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("band")
-    return stored(rows.join(small(stored(met), KEYS), "band", "left_semi").distinct())
+def shared_bands(seen: DataFrame, sketch: int) -> tuple[DataFrame, DataFrame]:
+    """Bands that several different lines have: (a, b) of those of two lines, (band, k, size) of the larger ones."""
+    once = seen.where(F.size("m") > 1).select("k", "m").dropDuplicates(["k"])
+    signed = once.select("k", F.explode(bands(F.col("m"), sketch)).alias("band"))
+    met = signed.repartition("band").groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("size"))
+    met = stored(met.where("a < b"))
+    more = met.where("size > 2").select("band", "size")
+    return met.where("size = 2").select("a", "b"), stored(signed.join(small(more, KEYS), "band"))
 
 
 def lines_to_verify(docs: DataFrame, text_col: str, seen: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,9 +118,8 @@ def lines_to_verify(docs: DataFrame, text_col: str, seen: DataFrame, wanted: Dat
     at = seen.join(small(wanted, KEYS), "k", "left_semi").groupBy("k").agg(F.min(F.struct("th", "n")).alias("at"))
     at = stored(at.groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.n").alias("n"), "k")).alias("ns")))
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(small(at.select("th"), KEYS), "th", "left_semi")
-    picked = texts.join(_listed(at, "ns"), "th").select("ns", F.split(folded(F.col("text")), "\n").alias("parts")).select(F.explode("ns").alias("x"), "parts")
-    picked = picked.select(F.col("x.k").alias("k"), F.trim(F.get("parts", F.col("x.n"))).alias("line"))
-    return picked.groupBy("k").agg(F.first("line").alias("line"))
+    picked = texts.join(_listed(at, "ns"), "th").select("ns", F.split("text", "\n").alias("parts")).select(F.explode("ns").alias("x"), "parts")
+    return picked.select(F.col("x.k").alias("k"), F.trim(folded(F.get("parts", F.col("x.n")))).alias("line")).dropDuplicates(["k"])
 
 
 def _listed(lists: DataFrame, *columns: str) -> DataFrame:
@@ -137,15 +136,16 @@ class Search:
         self.roots = cut(lines.select(F.col("k").alias("node"), F.col("k").alias("root")).where("false"))
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """(band, k, comp, size) of the bands in which several components are left."""
-        of = rows.join(small(self.roots.withColumnRenamed("node", "k"), KEYS), "k", "left").select("band", "k", F.coalesce("root", "k").alias("comp"))
-        of = stored(of)
-        sizes = of.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        return of.join(small(stored(sizes.select("band", "size")), KEYS), "band")
-
-    def add(self, pairs: DataFrame) -> bool:
-        """Verify (a, b) pairs of lines and join the components of those that are alike; whether there were any."""
-        new = cut(self.verified(pairs))
+        """Rows (band, k, ...) with their component, comp, of the bands in which several components are left."""
+        of = stored(rows.join(small(self.roots.withColumnRenamed("node", "k"), KEYS), "k", "left").withColumn("comp", F.coalesce("root", "k")).drop("root"))
+        several = of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+        return stored(of.join(small(stored(several), KEYS), "band", "left_semi"))
+
+    def add(self, pairs: DataFrame, sketched: bool = True) -> bool:
+        """Verify (a, b) pairs of lines and join the components of those that are similar; whether there were any.
+
+        ``sketched``: pairs whose sketches speak against it are left out."""
+        new = stored(self.verified(self.likely(pairs) if sketched else pairs))
         if not new.head(1):
             return False
         known = small(self.roots, KEYS)
@@ -198,43 +198,59 @@ class Search:
         star = known.groupBy("band").agg(F.max(F.struct("fame", "k", "comp")).alias("s")).select("band", F.col("s.k").alias("a"), F.col("s.comp").alias("of"))
         votes = rows.join(star, "band").where("comp != of").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("votes"))
         best = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
-        return self.likely(votes.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= STARS).select("a", "b"))
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """(a, b) of different components in bands (band, k, comp), which are to be small."""
-        full = rows.join(self.lines.select("k", "m"), "k").select("band", "k", "comp", "m")
-        x, y = full.alias("x"), full.alias("y")
-        near = (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & self.alike(F.col("x.m"), F.col("y.m"))
+        return votes.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= STARS).select("a", "b")
+
+    def rare(self, wanted: DataFrame) -> DataFrame:
+        """(band, k, size, n, behind): the shingles by which lines (k) may be similar to others of them.
+
+        In an order of all shingles by the number of lines that have them, similar sets of n and of at most n share one
+        of the first n - ceil(similarity * n) + 1 of the larger.  A band is a shingle, size the number of its lines; behind
+        are the line's shingles from this one on.  Shingles of one line alone are only counted."""
+        hashes = F.array_distinct(F.transform(shingles(F.col("line"), self.size), lambda x: F.xxhash64(x)))
+        each = stored(self.lines.join(small(wanted, KEYS), "k", "left_semi").select("k", F.explode(hashes).alias("band")))
+        sizes = stored(each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+        lists = each.join(small(sizes, KEYS), "band", "left").groupBy("k").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "band")))).alias("x"))
+        own = F.col("n") - F.size("x")
+        first = F.greatest(F.lit(0), (F.col("n") - F.ceil(self.similarity * F.col("n") - 1e-6) + 1 - own).cast("int"))
+        found = lists.select("k", "n", F.size("x").alias("shared"), F.posexplode(F.slice("x", F.lit(1), first)).alias("i", "x"))
+        return stored(found.select("x.band", "k", "x.size", "n", (F.col("shared") - F.col("i")).alias("behind")))
+
+    def near(self, rows: DataFrame) -> DataFrame:
+        """(a, b): every pair of lines of different components in ``rare`` bands that may be similar: from the first shingle
+        that both have, similar lines have enough left for what they must share."""
+        x, y = rows.alias("x"), rows.alias("y")
+        most, both = F.least("x.behind", "y.behind"), F.col("x.n") + F.col("y.n")
+        near = (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & (most >= self.similarity * (both - most) - 1e-6)
         return x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of the lines of each band (band, k)."""
+    x, y = rows.alias("x"), rows.alias("y")
+    return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+
+
 def line_links(docs: DataFrame, text_col: str, seen: DataFrame, size: int, sketch: int, similarity: float, max_band: int) -> DataFrame:
     """(node, root): the components of similar lines, from the sketched occurrences ``seen``."""
-    signed = seen.where(F.size("m") > 1).select("k", F.explode(bands(F.col("m"), sketch)).alias("band"))
-    rows = shared_bands(signed)
-    lines = lines_to_verify(docs, text_col, seen, stored(rows.select("k").distinct()))
+    twos, rows = shared_bands(seen, sketch)
+    members = rows.select("k").unionByName(twos.select(F.explode(F.array("a", "b")).alias("k")))
+    lines = lines_to_verify(docs, text_col, seen, stored(members.distinct()))
     search = Search(stored(with_sketch(lines, size, PLACES)), size, similarity)
-    search.add(search.stars(search.open(rows)))
-    for places, run in LEVELS:
-        left = search.open(rows)
-        crowd, rows = left.where(F.col("size") > max_band), None
-        pairs = search.across(left.where(F.col("size") <= max_band))
-        if crowd.head(1):
-            hashes = search.lines.join(small(stored(crowd.select("k").distinct()), KEYS), "k", "left_semi")
-            hashes = hashes.select("k", F.array_distinct(F.transform(shingles(F.col("line"), size), lambda x: F.hash(x))).alias("h")).select("k", F.slice(F.sort_array("h"), 1, places).alias("h"))
-            finer = hashes.select("k", F.explode(F.when(F.size("h") >= run, _runs(F.col("h"), run)).otherwise(F.array(F.xxhash64("h")))).alias("band"))
-            rows = shared_bands(stored(finer))
-            pairs = pairs.unionByName(search.stars(search.open(rows)))
-        search.add(pairs)
-        if rows is None:
-            return search.roots
-    left = search.open(rows)
-    pairs = search.across(left.where(F.col("size") <= max_band))
-    found = True
-    while found:
-        crowd = stored(left.where(F.col("size") > max_band))
-        found = search.add(search.stars(crowd, again=True) if pairs is None else pairs.unionByName(search.stars(crowd, again=True)))
-        left, pairs = search.open(crowd.select("band", "k")), None
+    crowd = rows.where(F.col("size") > max_band)
+    pairs = twos.unionByName(_pairs(rows.where(F.col("size") <= max_band)))
+    left = crowd.withColumn("comp", F.col("k"))
+    for again in range(ROUNDS):  # they only leave fewer lines to the exact search
+        stars = search.stars(left, again > 0)
+        found = search.add(stored((stars if again else pairs.unionByName(stars)).distinct()))
+        left = search.open(crowd)
+        if not found or not left.head(1):
+            break
+    if left.head(1):
+        rare = search.rare(stored(left.select("k").distinct()))
+        left = search.open(rare)
+        if left.head(1) and search.add(stored(search.stars(left, again=True)), sketched=False):
+            left = search.open(rare)
+        search.add(stored(search.near(left)), sketched=False)
     return search.roots
 
 

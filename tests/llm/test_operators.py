@@ -265,6 +265,20 @@ def test_line_dedup_of_crowded_bands(spark):
     assert drops > 100 and wrong <= 0.02 * drops
 
 
+def test_line_dedup_finds_every_link_of_a_crowded_band(spark):
+    """Pairs that are just similar, of lines that all share a beginning and with it every band: equal to all pairs."""
+    rng = random.Random(31)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    beginning, texts = some("cgkosw", 30) + some("abdefhij", 8), {}  # no shingle that comes first reaches behind it
+    for d in range(0, 160, 2):
+        own, rest = some("abdefhij", 33), [some("abdefhij", 7) for _ in range(2)]
+        texts |= {d + i: beginning + own + x for i, x in enumerate(rest)}
+    want = brute_lines(texts)
+    assert sum(map(len, want.values())) == 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {d: sorted(x) for d, x in rows(line_dedup.drop_similar_lines(df), "doc_id", "dropped")} == want
+
+
 def test_line_dedup_takes_shingles_at_every_character(spark):
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 16))) for _ in range(300)]
