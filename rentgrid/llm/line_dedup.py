@@ -11,8 +11,8 @@ of sixteen places agree on some band with a probability of 0.997 (and for certai
 more shingles than places).
 
 Every pair of a band of at most ``max_band`` lines is tried.  In a larger one the member that meets most
-others elsewhere is the star, and each line is verified against the stars it shares most bands with, for
-``ROUNDS``.  The lines of the larger bands in which several components are left are then searched exactly, among
+others elsewhere is the star, and each line is verified against the stars it shares most bands with.
+The lines of the larger bands in which several components are left are then searched exactly, among
 each other: in an order of all their shingles by the number of lines that have them, two similar lines share one
 of the first (``rare``), and have enough behind it for the rest (``near``).  After one round of stars for the rare
 shingles, every such pair of different components is verified.  So no link of a larger band is lost, and only
@@ -36,14 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentgrid.llm._common import cut, small, stored
+from rentgrid.llm._common import small, stored
 from rentgrid.llm._graph import components
 
 SHINGLE, SKETCH, RUN, SIMILARITY, MAX_BAND = 9, 16, 3, 0.8, 32
 #: Places of the sketch that is compared before a pair is verified, stars a line is verified against at a time.
 PLACES, STARS = 64, 3
-#: Rounds of stars in the bands of more than ``max_band`` lines before their lines are searched exactly.
-ROUNDS = 2
 #: Up to so many 64-bit keys are broadcast to pick lines or documents out of a scan.
 KEYS = 1_000_000
 #: Up to so many rows of a few dozen bytes, or lists of as many entries in all, are broadcast.
@@ -133,7 +131,7 @@ class Search:
 
     def __init__(self, lines: DataFrame, size: int, similarity: float):
         self.lines, self.size, self.similarity = lines, size, similarity
-        self.roots = cut(lines.select(F.col("k").alias("node"), F.col("k").alias("root")).where("false"))
+        self.roots = stored(lines.select(F.col("k").alias("node"), F.col("k").alias("root")).where("false"))
 
     def open(self, rows: DataFrame) -> DataFrame:
         """Rows (band, k, ...) with their component, comp, of the bands in which several components are left."""
@@ -152,10 +150,10 @@ class Search:
         for x in "ab":
             new = new.join(known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
         new = stored(new)
-        moved = cut(components(new, "ra", "rb"))
+        moved = stored(components(new, "ra", "rb"))
         now = self.roots.unionByName(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti").withColumn("root", F.col("node")))
         to = small(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), KEYS)
-        self.roots = cut(now.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        self.roots = stored(now.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         return True
 
     def alike(self, ma: Column, mb: Column) -> Column:
@@ -191,8 +189,7 @@ class Search:
         """(a, b) of members of open bands (band, k, comp, size) and their bands' stars.
 
         A star is the member that meets most others; of those outside the band's smallest component, if ``again``."""
-        fame = rows.groupBy("k").agg(F.sum("size").alias("fame"))
-        known = rows.join(fame, "k")
+        known = rows.withColumn("fame", F.sum("size").over(Window.partitionBy("k")))
         if again:
             known = known.join(rows.groupBy("band").agg(F.min("comp").alias("low")), "band").where("comp > low")
         star = known.groupBy("band").agg(F.max(F.struct("fame", "k", "comp")).alias("s")).select("band", F.col("s.k").alias("a"), F.col("s.comp").alias("of"))
@@ -238,13 +235,8 @@ def line_links(docs: DataFrame, text_col: str, seen: DataFrame, size: int, sketc
     search = Search(stored(with_sketch(lines, size, PLACES)), size, similarity)
     crowd = rows.where(F.col("size") > max_band)
     pairs = twos.unionByName(_pairs(rows.where(F.col("size") <= max_band)))
-    left = crowd.withColumn("comp", F.col("k"))
-    for again in range(ROUNDS):  # they only leave fewer lines to the exact search
-        stars = search.stars(left, again > 0)
-        found = search.add(stored((stars if again else pairs.unionByName(stars)).distinct()))
-        left = search.open(crowd)
-        if not found or not left.head(1):
-            break
+    search.add(stored(pairs.unionByName(search.stars(crowd.withColumn("comp", F.col("k")))).distinct()))
+    left = search.open(crowd)
     if left.head(1):
         rare = search.rare(stored(left.select("k").distinct()))
         left = search.open(rare)
