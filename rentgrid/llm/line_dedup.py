@@ -14,9 +14,11 @@ Every pair of a band of at most ``max_band`` lines is tried.  In a larger one th
 others elsewhere is the star, and each line is verified against the stars it shares most bands with.
 The lines of the larger bands in which several components are left are then searched exactly, among
 each other: in an order of all their shingles by the number of lines that have them, two similar lines share one
-of the first (``rare``), and have enough behind it for the rest (``near``).  After one round of stars for the rare
-shingles, every such pair of different components is verified.  So no link of a larger band is lost, and only
-lines that share a rare shingle are paired off.
+of the first (``rare``), have enough behind it for the rest, and differ in few shingles (``near``).  The last is told from
+256 parities a line: a shingle that only one of two lines has flips one of them, so two similar lines never differ in more
+parities than they may in shingles.  After one round of stars for the rare shingles, every such pair of different components
+is verified.  So no link of a larger band is lost, and only lines that share a rare shingle and few of whose parities differ
+are paired off.
 
 A pair from a band is verified if a sketch of 64 places does not speak against it, any other without that, by the exact
 Jaccard similarity of all shingles, for which 64-bit hashes stand (as for the lines themselves).  Verified
@@ -42,6 +44,8 @@ from rentgrid.llm._graph import components
 SHINGLE, SKETCH, RUN, SIMILARITY, MAX_BAND = 9, 16, 3, 0.8, 32
 #: Places of the sketch that is compared before a pair is verified, stars a line is verified against at a time.
 PLACES, STARS = 64, 3
+#: 64-bit words of the parities by which sets of shingles are told apart before they are compared.
+WORDS = 4
 #: Up to so many 64-bit keys are broadcast to pick lines or documents out of a scan.
 KEYS = 1_000_000
 #: Up to so many rows of a few dozen bytes, or lists of as many entries in all, are broadcast.
@@ -131,6 +135,7 @@ class Search:
 
     def __init__(self, lines: DataFrame, size: int, similarity: float):
         self.lines, self.size, self.similarity = lines, size, similarity
+        self.sets = None
         self.roots = stored(lines.select(F.col("k").alias("node"), F.col("k").alias("root")).where("false"))
 
     def open(self, rows: DataFrame) -> DataFrame:
@@ -202,23 +207,39 @@ class Search:
 
         In an order of all shingles by the number of lines that have them, similar sets of n and of at most n share one
         of the first n - ceil(similarity * n) + 1 of the larger.  A band is a shingle, size the number of its lines; behind
-        are the line's shingles from this one on.  Shingles of one line alone are only counted."""
+        are the line's shingles from this one on.  Shingles of one line alone are only counted.  Keeps every line's parities
+        as ``sets``: (k, of, w0, ...), of the number of its shingles."""
         hashes = F.array_distinct(F.transform(shingles(F.col("line"), self.size), lambda x: F.xxhash64(x)))
         each = stored(self.lines.join(small(wanted, KEYS), "k", "left_semi").select("k", F.explode(hashes).alias("band")))
         sizes = stored(each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("band", 8).bitwiseAND(F.lit(63)).cast("int"))
+        words = [F.bit_xor(F.when(F.pmod("band", F.lit(WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+        self.sets = stored(each.groupBy("k").agg(F.count("*").alias("of"), *words))
         lists = each.join(small(sizes, KEYS), "band", "left").groupBy("k").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "band")))).alias("x"))
         own = F.col("n") - F.size("x")
         first = F.greatest(F.lit(0), (F.col("n") - F.ceil(self.similarity * F.col("n") - 1e-6) + 1 - own).cast("int"))
         found = lists.select("k", "n", F.size("x").alias("shared"), F.posexplode(F.slice("x", F.lit(1), first)).alias("i", "x"))
         return stored(found.select("x.band", "k", "x.size", "n", (F.col("shared") - F.col("i")).alias("behind")))
 
+    def few(self, x: str, y: str) -> Column:
+        """Whether the parities of two lines differ in no more places than similar lines may differ in shingles."""
+        differ = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(WORDS)), F.lit(0))
+        return (1 + self.similarity) * differ <= (1 - self.similarity) * (F.col(f"{x}.of") + F.col(f"{y}.of")) + 1e-6
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) pairs of lines of ``sets`` that ``few`` does not rule out."""
+        sets = small(self.sets, LISTS)
+        met = pairs.join(sets.alias("x"), F.col("a") == F.col("x.k")).join(sets.alias("y"), F.col("b") == F.col("y.k"))
+        return met.where(self.few("x", "y")).select("a", "b")
+
     def near(self, rows: DataFrame) -> DataFrame:
         """(a, b): every pair of lines of different components in ``rare`` bands that may be similar: from the first shingle
-        that both have, similar lines have enough left for what they must share."""
+        that both have, similar lines have enough left for what they must share, and few of their parities differ."""
+        rows = rows.join(small(self.sets, LISTS), "k")
         x, y = rows.alias("x"), rows.alias("y")
         most, both = F.least("x.behind", "y.behind"), F.col("x.n") + F.col("y.n")
         near = (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & (most >= self.similarity * (both - most) - 1e-6)
-        return x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+        return x.join(y, (F.col("x.band") == F.col("y.band")) & near & self.few("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -240,9 +261,9 @@ def line_links(docs: DataFrame, text_col: str, seen: DataFrame, size: int, sketc
     if left.head(1):
         rare = search.rare(stored(left.select("k").distinct()))
         left = search.open(rare)
-        if left.head(1) and search.add(stored(search.stars(left, again=True)), sketched=False):
+        if left.head(1) and search.add(search.possible(search.stars(left, again=True)), sketched=False):
             left = search.open(rare)
-        search.add(stored(search.near(left)), sketched=False)
+        search.add(search.near(left), sketched=False)
     return search.roots
 
 
@@ -274,7 +295,7 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = whole.unionByName(changed.select("doc_id", "text", F.coalesce("dropped", none).alias("dropped"), F.coalesce("classes", no_class).alias("classes")))
     parts = F.split("text", "\n")
     stay = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
-    written = F.filter(parts, lambda x: F.btrim(x, F.lit(" " + _SPACES)) != "")
+    written = F.filter(parts, lambda x: F.ltrim(x, F.lit(" " + _SPACES)) != "")
     return both.select(
         "doc_id", F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
         F.coalesce(F.size(written), F.lit(0)).alias("n_lines"), F.size("dropped").alias("n_dropped"), "dropped", "classes",

@@ -279,6 +279,24 @@ def test_line_dedup_finds_every_link_of_a_crowded_band(spark):
     assert {d: sorted(x) for d, x in rows(line_dedup.drop_similar_lines(df), "doc_id", "dropped")} == want
 
 
+def test_line_dedup_pairs_off_only_lines_that_may_be_similar(spark):
+    """Lines that share rare shingles and a common part, but are mostly not similar: no similar pair is left out, few others come."""
+    rng = random.Random(41)
+    some = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common, blocks, lines = some(100), [some(20) for _ in range(14)], []
+    for _ in range(40):
+        own = rng.sample(blocks, 4)
+        lines += [common + "".join(own), common + "".join(own) + some(6)]
+    lines = sorted(set(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    search = line_dedup.Search(line_dedup.stored(line_dedup.with_sketch(df, 9, line_dedup.PLACES)), 9, 0.8)
+    left = search.open(search.rare(df.select("k")))
+    got = {(r[0], r[1]) for r in rows(search.near(left), "a", "b")}
+    grams = [{x[i : i + 9] for i in range(len(x) - 8)} for x in lines]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert len(alike) >= 40 and alike <= got and len(got) <= 2 * len(alike)
+
+
 def test_line_dedup_takes_shingles_at_every_character(spark):
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 16))) for _ in range(300)]
