@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.operators import ranks
+from rentgrid.operators.lineage import cut
 
 
 def as_of(df: DataFrame, key: list[str], at: str, tie: str, is_target: Column, value: Column, forward: bool = False) -> Column:
@@ -70,18 +71,55 @@ def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
     return ranks.numbered_by(df, [], [order], name)
 
 
-def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, cutoff: float, id_col: str) -> DataFrame:
-    """Each row with the nearest place closer than ``cutoff`` degrees, or null.
+#: Cells of a grid are halved up to so often, in steps of two, until a place meets about ``MET`` places in its own.
+HALVED, MET = 16, 4
+
+
+def _crowds(places: DataFrame, side: float) -> dict[int, float]:
+    """How many places a place has in its cell on average, by the number of times that cells of ``side`` are halved."""
+    cell = lambda c: F.call_function("shiftright", F.floor(F.col(c) / (side / 2**HALVED)), F.lit(HALVED) - F.col("n"))
+    dealt = places.select("_plat", "_plon", F.explode(F.array(*[F.lit(n) for n in range(0, HALVED + 1, 2)])).alias("n"))
+    cells = dealt.groupBy("n", cell("_plat").alias("_y"), cell("_plon").alias("_x")).agg(F.count("*").alias("k"))
+    return {r.n: r.met for r in cells.groupBy("n").agg((F.sum(F.col("k").cast("double") * F.col("k")) / F.sum("k")).alias("met")).collect()}
+
 
-    Places are dealt to a grid of ``cutoff`` cells and each row looks in its own and the eight
-    cells around it: an equi join, whatever the number of places.  ``places``: (place, lat, lon)."""
-    cell = lambda c: F.floor(c / cutoff)
-    grid = places.select(F.col("place"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), cell(F.col("lat")).alias("_y"), cell(F.col("lon")).alias("_x"))
+def _met(spots: DataFrame, places: DataFrame, side: float, near: Column) -> DataFrame:
+    """(spot, place, _d) of spots and the places that are ``near``, among those of their own cell and the eight around it."""
+    cell = lambda c: F.floor(F.col(c) / side)
+    grid = places.withColumns({"_y": cell("_plat"), "_x": cell("_plon")})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = df.select(id_col, lat, lon, around.alias("_o")).withColumns({"_y": cell(F.col(lat)) + F.col("_o.i"), "_x": cell(F.col(lon)) + F.col("_o.j")})
-    d = F.sqrt((F.col("_plat") - F.col(lat)) ** 2 + (F.col("_plon") - F.col(lon)) ** 2)
-    best = near.join(grid, ["_y", "_x"]).withColumn("_d", d).where(F.col("_d") < cutoff).groupBy(id_col).agg(F.min_by("place", F.struct("_d", "place")).alias("place"), F.min("_d").alias("distance"))
-    return df.join(best, id_col, "left")
+    looking = spots.withColumn("_o", around).withColumns({"_y": cell("_lat") + F.col("_o.i"), "_x": cell("_lon") + F.col("_o.j")}).drop("_o")
+    d = F.sqrt((F.col("_plat") - F.col("_lat")) ** 2 + (F.col("_plon") - F.col("_lon")) ** 2)
+    return looking.join(grid, ["_y", "_x"]).withColumn("_d", d).where(near)
+
+
+def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, cutoff: float, id_col: str) -> DataFrame:
+    """Each row with the nearest place closer than ``cutoff`` degrees, or null; of several the first.
+
+    Rows of one spot are looked up once, and of the places of one spot only the first is.  Places are dealt to a grid and
+    each spot looks in its own and the eight cells around it: an equi join, whatever the number of places.  Where cells of
+    ``cutoff`` are crowded, finer ones come first: a place no farther than a cell is wide is the nearest of all, and only
+    spots without one go on to the next grid.  ``places``: (place, lat, lon)."""
+    there = cut(places.groupBy(F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).agg(F.min("place").alias("place")).where("_plat is not null and _plon is not null"))
+    left = cut(df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null").distinct())
+    # a little wider than the radius that is searched, as quotients are rounded
+    side = cutoff * (1 + 1e-9)
+    crowds = _crowds(there, side)
+    n = min((k for k, met in crowds.items() if met <= MET), default=max(crowds, default=0))
+    best = None
+    for k in range(n, -1, -2):
+        wide = side / 2**k
+        near = (F.col("_d") < cutoff) & (F.lit(True) if k == 0 else F.col("_d") <= wide * (1 - 1e-9))
+        # the distance first and its place then, both by hash: the pairs are never sorted or shuffled as they are
+        low = cut(_met(left, there, wide, near).groupBy("_lat", "_lon").agg(F.min("_d").alias("distance")))
+        found = cut(_met(low, there, wide, near & (F.col("_d") == F.col("distance"))).groupBy("_lat", "_lon", "distance").agg(F.min("place").alias("place")))
+        best = found if best is None else best.unionByName(found)
+        if k:
+            left = cut(left.join(found, ["_lat", "_lon"], "left_anti"))
+            if not left.head(1):
+                break
+    rest = [c for c in df.columns if c != id_col]
+    return df.join(best, (df[lat] == F.col("_lat")) & (df[lon] == F.col("_lon")), "left").select(id_col, *rest, "place", "distance")
 
 
 def first_known(df: DataFrame, candidates: Column, table: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -340,3 +342,29 @@ def test_empty_tables_stay_empty(spark):
     assert entity.duplicate_groups(df, entity.duplicate_edges(df)).count() == 0
     assert market.opportunity(df).count() == 0 and coverage.field_coverage(df, ["title"]).head().percent == 0.0
     assert windows.round_robin(df, "source_site", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [1, 40])
+def test_nearest_places_are_those_of_all_pairs(spark, crowd):
+    """Sparse and crowded cells, ties, a place on a row, rows without a spot, and ids that repeat."""
+    rng = random.Random(crowd)
+    at = lambda: (rng.randrange(-300, 300) / 100, rng.randrange(-300, 300) / 100)
+    rows = [(i // 2, *at()) for i in range(200)] + [(7, 0.0, 0.0), (8, None, 0.0), (9, 50.0, 50.0)]
+    places = [(f"p{i:05d}", *at()) for i in range(100 * crowd)] + [(f"q{i:05d}", 1 + rng.random() / 1000, 1 + rng.random() / 1000) for i in range(10 * crowd)] + [("none", None, None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, id int, lat double, lon double")
+    got = {r.n: (r.id, r.place) for r in windows.nearest_place(df, spark.createDataFrame(places, "place string, lat double, lon double"), "lat", "lon", 0.25, "id").collect()}
+    far = lambda r, p: math.sqrt((p[1] - r[1]) ** 2 + (p[2] - r[2]) ** 2)
+    want = {}
+    for n, r in enumerate(rows):
+        met = [(far(r, p), p[0]) for p in places if p[1] is not None and r[1] is not None and far(r, p) < 0.25]
+        want[n] = (r[0], min(met)[1] if met else None)
+    assert got == want
+
+
+def test_nearest_place_meets_each_spot_once(spark):
+    """Many rows and places on few spots of a few cells: 2,000 million pairs of rows and places, 90,000 of spots."""
+    spot = lambda n: ((F.col("id") * n) % 300) / 6000
+    rows = spark.range(100_000).select("id", spot(7).alias("lat"), spot(11).alias("lon"))
+    places = spark.range(20_000).select(F.col("id").alias("place"), spot(13).alias("lat"), spot(17).alias("lon"))
+    met = windows.nearest_place(rows, places, "lat", "lon", 0.045, "id").cache()
+    assert met.count() == 100_000 and met.where("place >= 300").count() == 0 and met.select("lat", "lon", "place").distinct().count() == 300
