@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,9 +60,17 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 
 @F.pandas_udf(S.DoubleType())  # type: ignore[call-overload]
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def title_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two normalised titles, in id order."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
+    ratio = lru_cache(maxsize=100_000)(lambda x, y: 1.0 if x == y else SequenceMatcher(None, x, y).ratio())
+    for a, b in batches:
+        yield pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+
+
+def title_bound(a: Column, b: Column) -> Column:
+    """What ``title_ratio`` is at most: only equal titles have all of their characters in common."""
+    la, lb = F.length(a), F.length(b)
+    return F.when(a == b, F.lit(1.0)).otherwise(2 * F.when(la == lb, la - 1).otherwise(F.least(la, lb)) / (la + lb))
 
 
 def groups_by_key(df: DataFrame, key: str, id_col: str = "id", *rank: Column) -> DataFrame:
@@ -89,34 +99,45 @@ def prepared(df: DataFrame) -> DataFrame:
     )
 
 
+def _score(a, b, same_commune: Column, title: Column, same_rooms: Column) -> Column:
+    closeness = lambda x, y: F.when((x != 0) & (y != 0), F.greatest(F.lit(0.0), 1 - F.abs(x - y) / F.greatest(x, y, F.lit(1)).cast("double"))).otherwise(0.0)
+    return (
+        F.when(same_commune, 0.26).otherwise(0.0) + F.coalesce(closeness(a("price"), b("price")) * 0.24, F.lit(0.0)) + F.coalesce(closeness(a("surface"), b("surface")) * 0.22, F.lit(0.0))
+        + title * 0.20 + F.when(same_rooms, 0.08).otherwise(0.0)
+    )
+
+
+def _tight(a, b) -> Column:
+    return N.rel_close(a("price"), b("price"), 0.03, 35) & N.rel_close(a("surface"), b("surface"), 0.04, 3)
+
+
+def _close(a, b) -> Column:
+    return N.rel_close(a("price"), b("price"), 0.07, 70) & N.rel_close(a("surface"), b("surface"), 0.10, 8)
+
+
 def _decided(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b structs) with score, decision, confidence, reason; the title ratio is computed once."""
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    closeness = lambda x, y: F.when((x != 0) & (y != 0), F.greatest(F.lit(0.0), 1 - F.abs(x - y) / F.greatest(x, y, F.lit(1)).cast("double"))).otherwise(0.0)
     p = pairs.withColumn("title_ratio", title_ratio(a("title_norm"), b("title_norm")))
     same_commune = (a("commune") != "") & (a("commune") == b("commune"))
     same_rooms = F.coalesce(a("rooms") == b("rooms"), F.lit(False))
-    score = (
-        F.when(same_commune, 0.26).otherwise(0.0) + F.coalesce(closeness(a("price"), b("price")) * 0.24, F.lit(0.0)) + F.coalesce(closeness(a("surface"), b("surface")) * 0.22, F.lit(0.0))
-        + F.col("title_ratio") * 0.20 + F.when(same_rooms, 0.08).otherwise(0.0)
-    )
+    score = _score(a, b, same_commune, F.col("title_ratio"), same_rooms)
     p = p.withColumns(
         {
             "score": N.half_even(F.least(score, F.lit(1.0)), 3), "same_commune": F.coalesce(same_commune, F.lit(False)), "same_rooms": same_rooms,
             "same_family": (a("family") == b("family")) | (a("family") == "unknown") | (b("family") == "unknown"),
             "same_source": F.coalesce(a("source") == b("source"), F.lit(False)), "exact_url": F.coalesce((a("url_key") != "") & (a("url_key") == b("url_key")), F.lit(False)),
-            "overlap": token_overlap(a("tokens"), b("tokens")), "price_tight": N.rel_close(a("price"), b("price"), 0.03, 35), "price_close": N.rel_close(a("price"), b("price"), 0.07, 70),
-            "surface_tight": N.rel_close(a("surface"), b("surface"), 0.04, 3), "surface_close": N.rel_close(a("surface"), b("surface"), 0.10, 8),
+            "overlap": token_overlap(a("tokens"), b("tokens")), "tight": _tight(a, b), "close": _close(a, b),
             "rooms_differ": F.coalesce(a("rooms") != b("rooms"), F.lit(False)),
         }
     )
     veto = ~F.col("same_commune") | ~F.col("same_family") | F.col("rooms_differ")
-    tight = F.col("same_commune") & F.col("same_rooms") & F.col("price_tight") & F.col("surface_tight") & ~veto
+    tight = F.col("same_commune") & F.col("same_rooms") & F.col("tight") & ~veto
     reason = (
         F.when(F.col("exact_url"), "exact_url")
         .when(tight & F.col("same_family") & ((F.col("title_ratio") >= 0.82) | (F.col("overlap") >= 0.75)), "strong_fingerprint")
         .when(tight & F.col("same_source") & (F.col("title_ratio") >= 0.94), "same_source_near_exact")
-        .when(F.col("same_commune") & F.col("same_family") & F.col("price_close") & F.col("surface_close") & ~F.col("rooms_differ") & (F.col("score") >= 0.76), "similar")
+        .when(F.col("same_commune") & F.col("same_family") & F.col("close") & ~F.col("rooms_differ") & (F.col("score") >= 0.76), "similar")
         .otherwise("insufficient_evidence")
     )
     floor = F.when(F.col("reason") == "exact_url", 0.95).when(F.col("reason") == "strong_fingerprint", 0.88).when(F.col("reason") == "same_source_near_exact", 0.86).otherwise(0.0)
@@ -126,47 +147,98 @@ def _decided(pairs: DataFrame) -> DataFrame:
 
 
 BLOCK = ["commune", "family", "_p", "_s", "_r"]
-#: What a pair of a block is decided by, beside the block: rows that agree in all of it are one vector.
-FEATURES = ["price", "surface", "rooms", "source", "title_norm"]
+#: What a pair of a block is decided by, beside the block: rows that agree in all of it are one vector.  The source is not among
+#: it: tight pairs of so much as a ratio of 0.82 are duplicates in a block, whatever their sources.
+FEATURES = ["price", "surface", "rooms", "title_norm"]
 #: Vectors of a block that are paired in one task.
 CELL = 256
+#: Scores are compared with what they may be at most, with room for their rounding.
+ROOM = 0.0005 + 1e-9
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """Distinct feature vectors of the blocks, with their smallest and largest id."""
-    return rows.groupBy(*BLOCK, *FEATURES).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("tokens").alias("tokens"), F.first("url_key").alias("url_key"), F.count("*").alias("n"))
+    """Distinct feature vectors of the blocks, with their smallest and largest id.  No two rows of blocks share an address."""
+    out = rows.groupBy(*BLOCK, *FEATURES).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    return out.withColumns({"url_key": F.lit(""), "source": F.lit(None).cast("string")})
 
 
 def _as_row(id_: str) -> Column:
     return F.struct(*[(F.col(id_) if f == "id" else F.col(f)).alias(f) for f in PAIR_FIELDS])
 
 
-def _paired(vectors: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b) of different vectors of a block, as rows with real ids, smaller id first.
+def _fields(name: str):
+    return lambda f: F.col(f"{name}.{f}")
+
+
+def _ordered(x: str, y: str) -> Column:
+    return F.when(F.col(f"{x}.id") < F.col(f"{y}.id"), F.struct(F.col(x).alias("a"), F.col(y).alias("b"))).otherwise(F.struct(F.col(y).alias("a"), F.col(x).alias("b")))
+
+
+def _spanning(vectors: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link most of a block and tell most about it, as many as there are vectors: each vector with the one in
+    the middle of its block (mid), and with the next of the same title by price and surface."""
+    row = _as_row("low")
+    star = vectors.select("mid", row.alias("y")).where("mid.id != y.id").select(F.col("mid").alias("x"), "y")
+    chain = vectors.select(F.lag(row).over(Window.partitionBy(*BLOCK, "title_norm").orderBy("price", "surface", "low")).alias("x"), row.alias("y")).where("x is not null")
+    return star.unionByName(chain).where(_close(_fields("x"), _fields("y"))).select(_ordered("x", "y").alias("p")).select("p.a", "p.b")
+
+
+def _with_middle(vectors: DataFrame) -> DataFrame:
+    """Vectors of blocks of several, with the one in the middle of the block (mid) and their number (_m)."""
+    off = F.greatest(F.abs(F.col("price") - F.col("_p")) / 70, F.abs(F.col("surface") - F.col("_s")) / 8)
+    return vectors.join(vectors.groupBy(*BLOCK).agg(F.min_by(_as_row("low"), F.struct(off, "low")).alias("mid"), F.count("*").alias("_m")).where("_m > 1"), BLOCK)
+
+
+def _open(vectors: DataFrame, linked: DataFrame, own: DataFrame) -> DataFrame:
+    """The vectors of blocks that other pairs than ``linked`` may still tell something about, with a name (root) of those that are
+    linked to the middle, whether all edges known among these are automatic (auto), and the highest confidence of them (top)."""
+    low, mid = F.col("low"), F.col("mid.id")
+    rows = vectors.withColumns({"a": F.least(low, mid), "b": F.greatest(low, mid)}).join(linked.select("a", "b", F.lit(True).alias("_l")).distinct(), ["a", "b"], "left").drop("a", "b")
+    rows = cut(rows.withColumn("root", F.when(F.col("_l"), mid).otherwise(low)).drop("_l", "mid"))
+    root = lambda x: rows.select(F.col("low").alias(x), F.col("root").alias(f"root_{x}"))
+    inner = linked.join(root("a"), "a").join(root("b"), "b").where("root_a = root_b").select("root_a", "decision", "confidence")
+    seen = inner.unionByName(own.join(root("a"), "a").select("root_a", "decision", "confidence"))
+    seen = seen.groupBy(F.col("root_a").alias("root")).agg(F.bool_and(F.col("decision") == "auto_duplicate").alias("auto"), F.max("confidence").alias("top"))
+    rows = cut(rows.join(seen, "root", "left").withColumns({"auto": F.coalesce("auto", F.lit(True)), "top": F.coalesce("top", F.lit(0.0))}))
+    more = (F.min("root") < F.max("root")) | F.bool_or(F.col("auto") | (F.col("top") < 1))
+    return rows.join(rows.groupBy(*BLOCK).agg(more.alias("_more")).where("_more").drop("_more"), BLOCK)
+
+
+def _paired(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of different vectors of an open block that may change its groups, as rows with real ids, smaller id first.
+
+    Vectors that are not linked yet may be; of those that are, a pair may be the first that is no automatic duplicate, or
+    have a higher confidence than any before.  All of it is bounded by what titles of their lengths have in common at most.
 
     A block is itself about as wide as the tolerances, so all of it must meet; but a crowded one is dealt into parts
     of about ``cell`` vectors and every pair of parts is a task's work of its own.  The title comparison depends on which id is
     smaller, so two vectors whose ids interleave are compared in both orders, as the pairs of their rows would be."""
-    sizes = vectors.groupBy(*BLOCK).agg(F.count("*").alias("_m")).where("_m > 1")
-    # a block's key and size; joined by key, and skipped by blocks of one vector
-    dealt = vectors.join(sizes, BLOCK).withColumn("_parts", F.ceil(F.col("_m") / cell).cast("int")).withColumn("_part", F.pmod(F.xxhash64("low"), F.col("_parts")).cast("int"))
-    row = F.struct(_as_row("low").alias("first"), _as_row("high").alias("last"))
+    dealt = rows.withColumn("_parts", F.ceil(F.col("_m") / cell).cast("int")).withColumn("_part", F.pmod(F.xxhash64("low"), F.col("_parts")).cast("int"))
+    row = F.struct(_as_row("low").alias("first"), F.col("high").alias("last"), "root", "auto", "top")
     left = dealt.select(*BLOCK, row.alias("x"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
     right = dealt.select(*BLOCK, row.alias("y"), F.col("_part").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"))
     pairs = left.join(right, [*BLOCK, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("x.first.id") < F.col("y.first.id")))
+    x, y = _fields("x.first"), _fields("y.first")
     # only "distinct" is left for pairs whose prices or surfaces are not close, so their titles are never compared
-    close = N.rel_close(F.col("x.first.price"), F.col("y.first.price"), 0.07, 70) & N.rel_close(F.col("x.first.surface"), F.col("y.first.surface"), 0.10, 8)
-    order = lambda p, q: F.when(F.col(f"{p}.first.id") < F.col(f"{q}.last.id"), F.struct(F.col(f"{p}.first").alias("a"), F.col(f"{q}.last").alias("b")))
-    return pairs.where(close).select(F.explode(F.array_compact(F.array(order("x", "y"), order("y", "x")))).alias("p")).select("p.a", "p.b")
+    tight, same = _tight(x, y), x("title_norm") == y("title_norm")
+    most = F.least(F.lit(1.0), _score(x, y, F.lit(True), title_bound(x("title_norm"), y("title_norm")), x("rooms").isNotNull()))
+    linked = tight | (most >= 0.76 - ROOM)
+    auto = tight & x("rooms").isNotNull() & (same | (token_overlap(x("tokens"), y("tokens")) >= 0.75))
+    higher = (most >= F.col("x.top") + 0.001 - ROOM) | (tight & (F.col("x.top") < 0.88))
+    telling = F.when(F.col("x.root") != F.col("y.root"), linked).otherwise((F.col("x.auto") & linked & ~auto) | higher)
+    last = lambda p: F.col(f"{p}.first").withField("id", F.col(f"{p}.last"))
+    order = lambda p, q: F.when(F.col(f"{p}.first.id") < F.col(f"{q}.last"), F.struct(F.col(f"{p}.first").alias("a"), last(q).alias("b")))
+    return pairs.where(_close(x, y) & telling).select(F.explode(F.array_compact(F.array(order("x", "y"), order("y", "x")))).alias("p")).select("p.a", "p.b")
 
 
 def duplicate_edges(df: DataFrame, cell: int = CELL) -> DataFrame:
     """Decided pairs that are not distinct, by exact address and by block: enough of them for the same groups as all.
 
     Blocks are commune, family, rounded price and surface, and rooms; rows that share an exact address
-    are kept out of them.  The copies of an address are linked to the smallest id of it, and the rows of one feature vector
-    to its smallest id, as they are all decided alike; different vectors are paired once for each order of ids they
-    have.  So every decision that a pair of rows gets is among the edges, and no copies are paired."""
+    are kept out of them, and so are rows without a commune, which no block decides alike.  The copies of an address are linked
+    to the smallest id of it, and the rows of one feature vector to its smallest id, as they are all decided alike.  Different
+    vectors are first linked by one pair or two each; then all pairs of a block are paired, once for each order of ids they have,
+    that may still link some, make a group no automatic one, or give it a higher confidence."""
     rows = cut(prepared(df))
     with_url = rows.where("url_key != ''")
     lowest = with_url.groupBy("url_key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -174,18 +246,20 @@ def duplicate_edges(df: DataFrame, cell: int = CELL) -> DataFrame:
     heads = exact.where("id = low").select("url_key", F.struct(*PAIR_FIELDS).alias("a"))
     spokes = exact.where("id != low").select("url_key", F.struct(*PAIR_FIELDS).alias("b")).join(heads, "url_key").select("a", "b")
     by_url = _decided(spokes).withColumns({"decision": F.lit("auto_duplicate"), "reason": F.lit("exact_url"), "confidence": F.greatest(F.lit(0.95), F.col("confidence"))})
-    free = rows.join(exact.select("id"), "id", "left_anti").where("price != 0 and surface != 0")
+    free = rows.join(exact.select("id"), "id", "left_anti").where("price != 0 and surface != 0 and commune != ''")
     free = cut(free.withColumns({"_p": N.rounded_to(F.col("price"), 100), "_s": N.rounded_to(F.col("surface"), 10), "_r": F.coalesce("rooms", F.lit(0))}))
     vectors = cut(_vectors(free))
-    by_block = _decided(_paired(vectors, cell)).where("decision != 'distinct'")
-    own = _decided(vectors.where("n > 1").select(_as_row("low").alias("a"), _as_row("low").alias("b")))
+    own = _decided(vectors.where("n > 1").select(_as_row("low").alias("a"), _as_row("low").alias("b"))).where("decision != 'distinct'")
+    several = cut(_with_middle(vectors))
+    linked = cut(_decided(_spanning(several)).where("decision != 'distinct'"))
+    by_block = linked.unionByName(_decided(_paired(_open(several, linked, own), cell)).where("decision != 'distinct'"))
     cols = [c for c in by_block.columns if c not in ("a", "b")]
     repeated = vectors.where("n > 1").select(*BLOCK, *FEATURES, "low")
     same = F.lit(True)
     for c in (*BLOCK, *FEATURES):
         same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"v.{c}"))
     copies = free.alias("f").join(repeated.alias("v"), same).where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    by_copy = copies.join(own.where("decision != 'distinct'").select("a", *cols), "a").select("a", "b", *cols)
+    by_copy = copies.join(own.select("a", *cols), "a").select("a", "b", *cols)
     rank = F.struct(F.when(F.col("decision") == "auto_duplicate", 1).otherwise(0), F.col("confidence"))
     both = by_url.unionByName(by_block).unionByName(by_copy)
     return both.groupBy("a", "b").agg(F.max_by(F.struct(*cols), rank).alias("e")).select("a", "b", "e.*")

@@ -228,3 +228,28 @@ def test_components_with_hubs(spark, monkeypatch):
     edges = [(500, i) for i in range(600, 700)] + [(i, i + 1) for i in range(100, 130)] + [(130, 600), (1, 2), (2, 3), (3, 1)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {k for k, v in got.items() if v == 1} == {1, 2, 3} and {v for k, v in got.items() if k > 3} == {100} and len(got) == 3 + 31 + 101
+
+
+@pytest.mark.parametrize("low", [610, 990])
+def test_groups_of_crowded_blocks_are_those_of_all_pairs(spark, low):
+    """Few titles, near prices and surfaces, and missing rooms, with which titles decide whether there is a link at all."""
+    rng = random.Random(low)
+    titles = ["villa calme", "villa tres calme", "terrain", "zzzz", "bel appartement vue mer", ""]
+    rows = [(f"{rng.randrange(10**6):06d}{i}", f"http://x/{i}", rng.choice(titles), rng.choice(["Saint-Denis", "Saint-Paul"]), "maison", low + rng.randrange(40) * 2, rng.choice([16.0, 20.0, 23.0]), rng.choice([None, None, 0, 2]), "s", "d") for i in range(120)]
+    rows += [(f"{i}x", f"http://y/{i}", "seul", "Saint-Leu", "maison", 800, 40.0, None, "s", "d") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, url string, title string, commune string, property_type string, rent_eur int, surface_m2 double, rooms int, source_site string, description string").cache()
+    got = sorted((tuple(r.member_ids), r.decision == "auto_duplicate", r.confidence) for r in entity.duplicate_groups(df, entity.duplicate_edges(df)).collect())
+    assert got == all_pairs_groups(df)
+    assert (("0x", "1x", "2x"), False, 0.92) in got
+
+
+def test_a_block_of_many_vectors_is_not_paired_off(spark):
+    """1,000 different vectors of one block: their groups need about two pairs each, not 500,000 in all."""
+    df = spark.range(1_000).select(
+        F.lpad(F.col("id").cast("string"), 4, "0").alias("id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.element_at(F.array(*[F.lit(c * 12) for c in "abcdefghij"]), (F.col("id") % 10 + 1).cast("int")).alias("title"),
+        F.lit("Saint-Denis").alias("commune"), F.lit("appartement").alias("property_type"), F.expr("cast(950 + floor(id / 10) as int)").alias("rent_eur"), F.lit(50.0).alias("surface_m2"), F.lit(2).alias("rooms"), F.lit("s").alias("source_site"), F.lit("").alias("description"),
+    )
+    edges = entity.duplicate_edges(df).cache()
+    assert edges.count() < 2_000
+    (group,) = entity.duplicate_groups(df, edges).collect()
+    assert len(group.member_ids) == 1_000 and group.decision == "needs_review" and group.confidence == 1.0
