@@ -130,6 +130,11 @@ def _listed(lists: DataFrame, *columns: str) -> DataFrame:
     return small(lists, LISTS) if entries <= 2 * LISTS else lists
 
 
+def _once(value: Column, name: str) -> Column:
+    """A value that no filter above works out again."""
+    return F.explode(F.array(value)).alias(name)
+
+
 class Search:
     """The components of lines found so far; ``lines``: (k, line, m), m a sketch of ``PLACES``."""
 
@@ -161,31 +166,30 @@ class Search:
         self.roots = stored(now.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         return True
 
-    def alike(self, ma: Column, mb: Column) -> Column:
-        """Whether two sketches do not speak against the similarity.
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ma, mb) whose sketches do not speak against the similarity, as (a, b).
 
         Of the first places of both lines together, those that both have are counted: a pair of similarity 0.8
         falls short of 0.62 of 64 by chance with a probability under 0.001."""
-        least = (self.similarity - 0.18) * F.least(F.lit(PLACES), F.greatest(F.size(ma), F.size(mb)))
-        both = F.array_intersect(ma, mb)
-        union = F.slice(F.sort_array(F.array_union(ma, mb)), 1, PLACES)
-        return (F.size(both) >= least) & (F.size(F.array_intersect(both, union)) >= (self.similarity - 0.18) * F.size(union))
+        least = (self.similarity - 0.18) * F.least(F.lit(PLACES), F.greatest(F.size("ma"), F.size("mb")))
+        met = pairs.select("a", "b", "ma", "mb", _once(F.array_intersect("ma", "mb"), "both")).where(F.size("both") >= least)
+        met = met.select("a", "b", "both", _once(F.slice(F.sort_array(F.array_union("ma", "mb")), 1, PLACES), "union"))
+        return met.where(F.size(F.array_intersect("both", "union")) >= (self.similarity - 0.18) * F.size("union")).select("a", "b")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         a = self.lines.select(F.col("k").alias("a"), F.col("m").alias("ma"))
         b = self.lines.select(F.col("k").alias("b"), F.col("m").alias("mb"))
-        return pairs.join(a, "a").join(b, "b").where(self.alike(F.col("ma"), F.col("mb"))).select("a", "b")
+        return self.alike(pairs.join(a, "a").join(b, "b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose shingle sets are similar; the sets of ``a``, which many pairs share, are worked out once."""
-        once = lambda value, name: F.explode(F.array(value)).alias(name)  # noqa: E731  (a filter above can't work it out again)
         hashes = lambda line: F.transform(shingles(line, self.size), lambda x: F.xxhash64(x))
         pairs = stored(pairs)
         of = self.lines.join(small(stored(pairs.select(F.col("a").alias("k")).distinct()), KEYS), "k", "left_semi")
         a = of.select(F.col("k").alias("a"), F.array_distinct(hashes(F.col("line"))).alias("ha"))
         b = self.lines.select(F.col("k").alias("b"), F.col("line").alias("lb"))
-        met = pairs.join(b, "b").join(a, "a").select("a", "b", "ha", once(hashes(F.col("lb")), "hb"))
-        met = met.select("a", "b", "hb", F.size("ha").alias("na"), once(F.size(F.array_intersect("ha", "hb")), "both"))
+        met = pairs.join(b, "b").join(a, "a").select("a", "b", "ha", _once(hashes(F.col("lb")), "hb"))
+        met = met.select("a", "b", "hb", F.size("ha").alias("na"), _once(F.size(F.array_intersect("ha", "hb")), "both"))
         enough = lambda nb: F.col("both") >= self.similarity * (F.col("na") + nb - F.col("both"))
         # repeated shingles only matter where the pair falls short with them
         return met.where(enough(F.size("hb")) | ((F.col("both") >= self.similarity * F.col("na")) & enough(F.size(F.array_distinct("hb"))))).select("a", "b")

@@ -297,6 +297,24 @@ def test_line_dedup_pairs_off_only_lines_that_may_be_similar(spark):
     assert len(alike) >= 40 and alike <= got and len(got) <= 2 * len(alike)
 
 
+def test_line_dedup_works_out_each_comparison_of_sketches_once(spark):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(90), rng.choice([3, 40, 64]))) for _ in range(30)]
+    lines = line_dedup.stored(spark.createDataFrame([(k, "", m) for k, m in enumerate(sets)], "k long, line string, m array<int>"))
+    pairs = spark.createDataFrame(list(itertools.combinations(range(30), 2)), "a long, b long")
+    found = line_dedup.Search(lines, 9, 0.8).likely(pairs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_union(") == 1 and plan.count("array_intersect(ma") <= 2  # one that only asks whether it is null
+
+    def alike(x, y):
+        x, y = set(sets[x]), set(sets[y])
+        union = sorted(x | y)[:64]
+        return len(x & y) >= 0.62 * min(64, max(len(x), len(y))) and len(x & y & set(union)) >= 0.62 * len(union)
+
+    want = {p for p in itertools.combinations(range(30), 2) if alike(*p)}
+    assert {(r.a, r.b) for r in found.collect()} == want and 0 < len(want) < 435
+
+
 def test_line_dedup_takes_shingles_at_every_character(spark):
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 16))) for _ in range(300)]
